@@ -10,13 +10,42 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_groups
 from .line_dedup import apply_keep_bitmaps, line_keep_bitmaps
+from .packing import pack
+from .quality import fit_quality, grade_documents
 from .sharding import byte_shards
+from .token_counts import count_tokens
+
+#: Vocabulary files come from this package, where it is installed.
+WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
+GRADES = 3
+
+
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def graded(labels: DataFrame) -> DataFrame:
+    """0: poor; 1: good prose that is toxic; 2: good and clean."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    return labels.select("doc_id", grade.cast("long").alias("grade"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), vocabulary_path(WORD_TOKENIZER), capacity=2048, end_id=0)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path(PIECE_MODEL))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op5_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = byte_shards(_table(spark, sf_dir, "documents"), shards=40, overhead=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -32,6 +61,18 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumnRenamed("kept", "kept_sha256")
 
 
+def quality_grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, expected_grade, p_at_least_1, p_at_least_2, keep) for every document."""
+    model = fit_quality(docs, graded(labels), levels=GRADES)
+    found = grade_documents(docs, model)
+    best = F.col("tails")[GRADES - 2]
+    return found.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_at_least_1"), best.alias("p_at_least_2"), (best >= 0.5).alias("keep"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_grades(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -39,7 +80,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_byte_sharding, op7_ngram_jaccard_join, op8_line_dedup, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op5_byte_sharding, op7_ngram_jaccard_join, op8_line_dedup, op9_quality_classifier, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
