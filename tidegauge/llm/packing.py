@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -35,6 +36,14 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        special = {t["content"] for t in json.loads(definition)["added_tokens"]}
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        self.lowers = "Lowercase" in json.dumps(json.loads(definition).get("normalizer")) and all("<" in t for t in vocabulary if t in special)
+        self.ends_word = None
+        if suffix:
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
 
     @classmethod
     def shared(cls, definition: str) -> WordEncoder:
@@ -48,23 +57,58 @@ class WordEncoder:
         if np.frombuffer(self.encode([sample.encode()])[0], np.uint32).tolist() != whole:
             raise ValueError("this tokenizer joins text across white space")
 
+    def _letters(self, words: list[str]) -> list[bytes] | None:
+        """Ids of words of letters alone, encoded as one text and parted at the tokens that end a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            return None
+        raw, at = ids.tobytes(), (4 * np.concatenate([[0], ends])).tolist()
+        return [raw[i:j] for i, j in zip(at[:-1], at[1:])]
+
+    def _new(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        out: dict[int, bytes] = {}
+        plain = [i for i, t in enumerate(texts) if t.isalpha()] if self.ends_word is not None else []
+        for lo in range(0, len(plain), 2000):
+            part = plain[lo : lo + 2000]
+            if (found := self._letters([texts[i] for i in part])) is not None:
+                out.update(zip(part, found))
+        rest = [i for i in range(len(texts)) if i not in out]
+        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return [out[i] for i in range(len(texts))]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
+        # lower case is the tokenizer's own; a special token's string must not come about by it
+        split = [(t if not self.lowers or b"<" in t else t.lower()).split() for t in texts]
         if len(self.young) > _CACHE_WORDS:
             self.old, self.young = self.young, {}
-        young = self.young
-        missing = [w for w in set().union(*split) if w not in young]
-        unknown, once = [], {}
-        for w in missing:
-            if (v := self.old.get(w)) is not None:
-                young[w] = v
-            else:
-                unknown.append(w)
-        if unknown:
-            for w, e in zip(unknown, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in unknown], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4").tobytes()
+        young, old = self.young, self.old
+        missing, once = [], {}
+        for w in set().union(*split):
+            if w not in young:
+                if (v := old.get(w)) is not None:
+                    young[w] = v
+                else:
+                    missing.append(w)
+        if missing:
+            # a full stop or comma after an ASCII letter is a token run of its own: the word before it is looked up alone
+            cores = {}
+            for w in missing:
+                c = w.rstrip(b".,")
+                cores[w] = c if len(c) < len(w) and c[-1:].isalpha() else w
+            new = [c for c in {*cores.values(), *(w[len(c) :] for w, c in cores.items() if len(c) < len(w))} if c not in young]
+            found = {c: v for c in new if (v := old.get(c)) is not None}
+            unknown = [c for c in new if c not in found]
+            found.update(zip(unknown, self._new(unknown)))
+            for w, ids in found.items():
                 (young if len(w) <= _CACHE_BYTES else once)[w] = ids
+            for w, c in cores.items():
+                if len(c) < len(w):
+                    ids = (young[c] if c in young else once[c]) + (young[t] if (t := w[len(c) :]) in young else once[t])
+                    (young if len(w) <= _CACHE_BYTES else once)[w] = ids
         if once:
             return [b"".join([young[w] if w in young else once[w] for w in words]) for words in split]
         return [b"".join(map(young.__getitem__, words)) for words in split]
