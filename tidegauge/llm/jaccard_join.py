@@ -21,9 +21,11 @@ _U = np.uint64
 _FLUSH = 1 << 21  # tokens that a task holds before it hands out counts
 _RANGE_TOKENS = 1 << 24  # tokens of one range of the count
 _SUB_BITS = 32
-_MAP_BITS = 26  # size of the map of frequent tokens: 8 MB whatever the input
-_MAP_FILL = 1 << 22
+_OFTEN_BITS = 26  # the map of frequent tokens has 8 MB whatever the input
+_OFTEN_FILL = 1 << 22
+_TWICE_BITS = 28  # the map of tokens in two documents or more has 32 MB whatever the input
 _LEVELS = (32, 256, 2048, 16384, 1 << 17)
+_NEEDED = 1 << 26  # bits of the map of documents whose texts are compared: 8 MB
 _SALTS = 64
 
 
@@ -56,6 +58,18 @@ def _set_rows(sim: Similarity):
     return rows
 
 
+def _pack(sorted_tokens: np.ndarray) -> bytes:
+    """Gaps between sorted 32-bit numbers as two planes; the upper one is nearly empty and compresses in the exchange."""
+    gaps = np.diff(sorted_tokens, prepend=np.uint32(0)).astype("<u4").view("<u2")
+    return gaps[0::2].tobytes() + gaps[1::2].tobytes()
+
+
+def _unpack(raw: memoryview) -> np.ndarray:
+    planes = np.frombuffer(raw, "<u2").astype(np.uint32)
+    half = len(planes) // 2
+    return np.cumsum(planes[:half] | (planes[half:] << np.uint32(16)), dtype=np.uint32)
+
+
 def _count_rows(sim: Similarity, bits: int):
     """Tokens of a task, counted and dealt by their leading bits: (range, tokens seen once, tokens seen more, counts)."""
 
@@ -66,8 +80,8 @@ def _count_rows(sim: Similarity, bits: int):
         once, more, many = [], [], []
         for a, b in zip(edges[:-1], edges[1:]):
             s, c = sub[a:b], counts[a:b]
-            once.append(s[c == 1].tobytes())
-            more.append(s[c > 1].tobytes())
+            once.append(_pack(s[c == 1]))
+            more.append(_pack(s[c > 1]))
             many.append(c[c > 1].astype(np.uint32).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(range(1 << bits), pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary()), pa.array(many, pa.binary())], names=["range", "once", "more", "many"])
 
@@ -86,71 +100,77 @@ def _count_rows(sim: Similarity, bits: int):
     return rows
 
 
+def _map_slice(sub: np.ndarray, width: int) -> bytes:
+    """Bits of a range's part of a map: set at the leading ``width`` bits of each token."""
+    slot = np.zeros(1 << width, bool)
+    slot[sub >> np.uint32(_SUB_BITS - width)] = True
+    return zlib.compress(np.packbits(slot).tobytes(), 1)
+
+
 def _frequent(bits: int):
-    """One range: for each level the map bits of the tokens in at least that many documents."""
-    per = _MAP_BITS - bits
+    """One range: the map bits of the tokens in at least two documents (level 2) and in at least each level's number."""
 
     def reduce(t: pa.Table) -> pa.Table:
-        once = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("once")]))
-        more = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("more")])
+        once = np.sort(np.concatenate([_unpack(x.as_buffer()) for x in t.column("once")]))
+        more = np.concatenate([_unpack(x.as_buffer()) for x in t.column("more")])
         many = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("many")]).astype(np.int64)
         cut_at = np.flatnonzero(np.append(True, once[1:] != once[:-1])) if len(once) else np.empty(0, np.int64)
-        keys = np.concatenate([once[cut_at], more])
-        counts = np.concatenate([np.diff(np.append(cut_at, len(once))), many])
+        n_once = np.diff(np.append(cut_at, len(once)))
+        alone = ~np.isin(once[cut_at], more) & (n_once == 1)  # most tokens: in one document of all
+        keys = np.concatenate([once[cut_at][~alone], more])
+        counts = np.concatenate([n_once[~alone], many])
         kept, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, weights=counts) if len(keys) else np.empty(0)
-        levels, n, maps = [], [], []
-        for level in _LEVELS:
-            often = kept[total >= level]
-            slot = np.zeros(1 << per, np.uint8)
-            slot[often >> np.uint32(_SUB_BITS - per)] = 1
-            levels.append(level)
-            n.append(len(often))
-            maps.append(zlib.compress(np.packbits(slot).tobytes(), 1))
+        levels = [2, *_LEVELS]
+        often = [kept[total >= x] for x in levels]
+        maps = [_map_slice(x, (_OFTEN_BITS if k else _TWICE_BITS) - bits) for k, x in enumerate(often)]
         r = t.column("range")[0].as_py()
-        return pa.table({"range": pa.array([r] * len(levels), pa.int32()), "level": pa.array(levels, pa.int32()), "n": pa.array(n, pa.int64()), "map": pa.array(maps, pa.binary())})
+        return pa.table({"range": pa.array([r] * len(levels), pa.int32()), "level": pa.array(levels, pa.int32()), "n": pa.array([len(x) for x in often], pa.int64()), "map": pa.array(maps, pa.binary())})
 
     return reduce
 
 
-def _frequent_map(texts: DataFrame, tokens: int, sim: Similarity) -> np.ndarray:
-    """A map of 2**_MAP_BITS bits, set where a frequent token falls; counted over every token of every text.
+def _token_maps(texts: DataFrame, tokens: int, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Two maps of fixed size over the tokens' leading bits, counted over every token of every text.
 
-    The map only chooses the order in which a set's tokens are probed: any function of the token would give the
-    same links, so its false positives cost time and never a link.
+    The first is set where a frequent token falls. It only chooses the order in which a set's tokens are probed: any
+    function of the token gives the same links. The second is set where a token of two documents or more falls;
+    a token that it lacks links nothing. False positives cost time and never a link.
     """
     bits = min(20, max(5, int(np.ceil(np.log2(max(1, tokens / _RANGE_TOKENS))))))
     counted = texts.mapInArrow(_count_rows(sim, bits), "range int, once binary, more binary, many binary")
     maps = cut(counted.groupBy("range").applyInArrow(_frequent(bits), "range int, level int, n long, map binary"))
     sums = {r.level: r.n for r in maps.groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    level = next((x for x in _LEVELS if sums.get(x, 0) <= _MAP_FILL), _LEVELS[-1])
-    out = np.zeros(1 << (_MAP_BITS - 3), np.uint8)
-    size = 1 << (_MAP_BITS - bits - 3)
-    for r in maps.where(F.col("level") == level).select("range", "map").toLocalIterator():
-        out[r.range * size : (r.range + 1) * size] = np.frombuffer(zlib.decompress(r.map), np.uint8)
-    return out
+    level = next((x for x in _LEVELS if sums.get(x, 0) <= _OFTEN_FILL), _LEVELS[-1])
+    out = []
+    for at, width in ((level, _OFTEN_BITS), (2, _TWICE_BITS)):
+        whole, size = np.zeros(1 << (width - 3), np.uint8), 1 << (width - bits - 3)
+        for r in maps.where(F.col("level") == at).select("range", "map").toLocalIterator():
+            whole[r.range * size : (r.range + 1) * size] = np.frombuffer(zlib.decompress(r.map), np.uint8)
+        out.append(whole)
+    return out[0], out[1]
 
 
-def _is_frequent(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    at = tokens >> _U(64 - _MAP_BITS)
-    return (frequent[at >> _U(3)] >> (7 - (at & _U(7))).astype(np.uint8)) & 1 > 0
+def _is_set(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
+    at = tokens >> _U(64 - (int(len(table)).bit_length() + 2))
+    return (table[at >> _U(3)] >> (7 - (at & _U(7))).astype(np.uint8)) & 1 > 0
 
 
-def _probe_rows(sim: Similarity, frequent):
-    """The first tokens of each set, frequent tokens last: (token, frequent, fp, n)."""
+def _probe_rows(sim: Similarity, maps):
+    """The first tokens of each set, frequent tokens last, without those of one document: (token, often, fp, n)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequent.value
+        frequent, twice = maps.value
         for batch in batches:
             parts, fps, ns = [], [], []
             for s in shingle_sets(batch.column(0), WORD_BYTES, sim.width):
                 if len(s):
-                    often = _is_frequent(s, table)
+                    often = _is_set(s, frequent)
                     p = sim.prefix(len(s))
                     first = s[~often][:p]
                     if len(first) < p:
                         first = np.concatenate([first, s[often][: p - len(first)]])
-                    parts.append(first)
+                    parts.append(first[_is_set(first, twice)])
                     fps.append(_fingerprint(s))
                     ns.append(len(s))
             if parts:
@@ -159,7 +179,7 @@ def _probe_rows(sim: Similarity, frequent):
                 fp, n = np.repeat(np.array(fps, np.int64), sizes), np.repeat(np.array(ns, np.int32), sizes)
                 for lo in range(0, len(tokens), 1 << 18):
                     t = tokens[lo : lo + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(_is_frequent(t, table)), pa.array(fp[lo : lo + len(t)]), pa.array(n[lo : lo + len(t)])], names=["token", "often", "fp", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(_is_set(t, frequent)), pa.array(fp[lo : lo + len(t)]), pa.array(n[lo : lo + len(t)])], names=["token", "often", "fp", "n"])
 
     return rows
 
@@ -180,6 +200,18 @@ def _size_fits(sim: Similarity, a: str, b: str):
     return (F.col(a) * sim.den >= F.col(b) * sim.num) & (F.col(b) * sim.den >= F.col(a) * sim.num)
 
 
+def _those(docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows that ``owners`` lacks, so that their texts stay where they are.
+
+    The owners' hashes set bits in 2048 maps of 4 KB: 8 MB, whatever their number; the join that follows is exact.
+    """
+    at = F.pmod(F.xxhash64("doc", "copy"), F.lit(_NEEDED))
+    maps = owners.select(at.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("map"))
+    found = docs.withColumn("h", at).withColumns({"bucket": F.expr("bitmap_bucket_number(h)"), "bit": F.expr("bitmap_bit_position(h)")}).join(F.broadcast(maps), "bucket")
+    byte = F.expr("cast(conv(hex(substring(map, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    return found.where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select(*docs.columns)
+
+
 class TokenGroupJoin:
     """The stages of the join over ``df``; see :func:`jaccard_groups`."""
 
@@ -201,8 +233,8 @@ class TokenGroupJoin:
         """
         tokens = int(sets.agg(F.sum("n")).first()[0] or 0)
         texts = self.docs.select("text")
-        frequent = self.spark.sparkContext.broadcast(_frequent_map(texts, tokens, self.sim))
-        rows = texts.mapInArrow(_probe_rows(self.sim, frequent), "token long, often boolean, fp long, n int")
+        maps = self.spark.sparkContext.broadcast(_token_maps(texts, tokens, self.sim))
+        rows = texts.mapInArrow(_probe_rows(self.sim, maps), "token long, often boolean, fp long, n int")
         salted = rows.withColumn("salt", F.when(F.col("often"), F.pmod(F.col("fp"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int"))
         me = F.struct("n", "fp")
 
@@ -220,7 +252,7 @@ class TokenGroupJoin:
         """Those of ``pairs(u, v)`` whose whole sets reach the threshold. Each pair meets the texts of its two nodes."""
         needed = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
         owners = reps.join(needed, reps.fp == needed.u).select("u", "doc", "copy")
-        with_text = owners.join(self.docs.where("doc is not null"), ["doc", "copy"]).select("u", "text")
+        with_text = owners.join(_those(self.docs.where("doc is not null"), owners), ["doc", "copy"]).select("u", "text")
         a = with_text.withColumnRenamed("text", "a")
         b = with_text.select(F.col("u").alias("v"), F.col("text").alias("b"))
         return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verified(self.sim), "u long, v long")
