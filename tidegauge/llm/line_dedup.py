@@ -173,6 +173,7 @@ def _applied(with_text: bool):
         for batch in batches:
             buf, offsets = text_buffer(batch.column(1))
             raw, keeps = memoryview(np.ascontiguousarray(buf)), batch.column(2).to_pylist()
+            missing = batch.column(1).is_null().to_pylist() if with_text else None
             n_lines, n_dropped, out = [], [], []
             for i, keep in enumerate(keeps):
                 text = bytes(raw[offsets[i] : offsets[i + 1]])
@@ -183,7 +184,7 @@ def _applied(with_text: bool):
                     text = b"\n".join([x for x, s in zip(text.split(b"\n"), stays.tolist()) if s])
                 n_lines.append(n)
                 n_dropped.append(dropped)
-                out.append(text if with_text else hashlib.sha256(text).hexdigest())
+                out.append((None if missing[i] else text) if with_text else hashlib.sha256(text).hexdigest())
             last = pa.array(out, pa.binary()).cast(pa.string()) if with_text else pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), last], names=["row", "n_lines", "n_dropped", "kept"])
 

@@ -166,6 +166,28 @@ def _score_rows(model):
     return rows
 
 
+def _kept_rows(model, tail: int, least: float, at: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            found = list(features(*text_buffer(batch.column(at)), m.bits))
+            scores = np.array([m.weights[f].sum(dtype=np.float64) if len(f) else -np.inf for f in found])
+            if len(found):
+                yield batch.filter(pa.array(m.tails(scores)[:, tail - 1] >= least))
+
+    return rows
+
+
+def select_documents(df: DataFrame, model: OrdinalModel, *, tail: int, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns unchanged, with P(grade >= tail) of at least ``least``; one pass, no exchange.
+
+    Null, empty and blank texts go. Ids play no part, so repeated rows and null ids are judged like others.
+    """
+    if not 1 <= tail <= len(model.thresholds):
+        raise ValueError("tail must be one of the grades above 0")
+    return df.mapInArrow(_kept_rows(df.sparkSession.sparkContext.broadcast(model), tail, least, df.columns.index(text_col)), df.schema)
+
+
 def grade_documents(df: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, expected_grade and tails (P(grade >= 1), P(grade >= 2), ...).
 
