@@ -1,10 +1,64 @@
-"""The corpus pipeline: quality, lines, near duplicates, benchmark leaks, packing."""
+"""The corpus pipeline: quality, repeated lines, near duplicates, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept; all but the last return the
+columns of ``documents``. ``run`` writes each stage's result to the shared folder and reads it for the next one.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegauge.llm.decontaminate import decontaminate
+from tidegauge.llm.jaccard_join import jaccard_groups
+from tidegauge.llm.line_dedup import apply_keep_bitmaps, line_keep_bitmaps
+from tidegauge.llm.packing import pack
+from tidegauge.llm.quality import fit_quality, select_documents
+from tidegauge.llm.queries import GRADES, WORD_TOKENIZER, graded, vocabulary_path
+from tidegauge.llm.runtime import stored
+
+#: Tokenizers, hashing and a fitted model: no SQL gives these rows; the stages are tested against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the highest grade is below one half go: junk, toxic prose, blank texts."""
+    model = fit_quality(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), levels=GRADES)
+    return select_documents(docs, model, tail=GRADES - 1)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in at least ten documents go everywhere; ``n_chars`` follows the text. No document goes."""
+    kept = apply_keep_bitmaps(docs, line_keep_bitmaps(docs, min_docs=10, min_chars=1), output="text")
+    new = kept.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
+    return new.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least id stays; rows without an id stay."""
+    heads = jaccard_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.where("doc_id is not null").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a word inside any benchmark window go."""
+    key = F.xxhash64("doc_id", "text")
+    found = decontaminate(docs.select(key.alias("row"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row", width=10)
+    leaks = found.where("n_hit > 0").select(F.col("row").alias("leak")).distinct()
+    return docs.join(leaks, key == F.col("leak"), "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, and their places in sequences of 2048 tokens."""
+    return pack(docs, vocabulary_path(WORD_TOKENIZER), capacity=2048, end_id=0)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
