@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .decontaminate import decontaminate
+from .image_copies import drawn_images, image_copies
 from .jaccard_join import jaccard_groups
+from .licenses import license_matches
 from .line_dedup import apply_keep_bitmaps, line_keep_bitmaps
 from .packing import pack
 from .quality import fit_quality, grade_documents
 from .sharding import byte_shards
 from .token_counts import count_tokens
+from .warc import fixity, layout, records
 
 #: Vocabulary files come from this package, where it is installed.
 WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -46,11 +50,30 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC records, audited against a replica in which the pages of a rule have a damaged byte."""
+    pages = _table(spark, sf_dir, "pages")
+    damaged = F.when((F.col("page_id") % 101 == 7) & (F.length("html") > 0), F.overlay("html", F.lit("~"), F.lit(1))).otherwise(F.col("html"))
+    return fixity(layout(records(pages)), layout(records(pages.withColumn("html", damaged)))).withColumnRenamed("key", "page_id")
+
+
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures drawn from all vectors, edited by a rule on the id, and grouped by their local descriptors."""
+    return image_copies(drawn_images(_table(spark, sf_dir, "embeddings")), id_col="image_id").withColumnRenamed("image_id", "vec_id")
+
+
 def op5_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = byte_shards(_table(spark, sf_dir, "documents"), shards=40, overhead=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_matches(docs, threshold=0.9).groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.max("dice").alias("best_dice"))
+    out = docs.select("doc_id").join(found, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.round(F.coalesce("best_dice", F.lit(0.0)), 6).alias("best_dice"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
 
@@ -80,8 +103,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op5_byte_sharding, op7_ngram_jaccard_join, op8_line_dedup, op9_quality_classifier, op10_benchmark_decontamination)}
+    ops = (
+        op1_best_fit_packing, op2_token_counts, op3_warc_fixity, op4_image_copies, op5_byte_sharding,
+        op6_license_scan, op7_ngram_jaccard_join, op8_line_dedup, op9_quality_classifier, op10_benchmark_decontamination,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_warc_fixity": oracle.WARC_AUDIT,
+        "op6_license_scan": oracle.LICENSES,
+        "op7_ngram_jaccard_join": oracle.JACCARD,
+        "op8_line_dedup": oracle.LINE_DEDUP,
+        "op10_benchmark_decontamination": oracle.DECONTAMINATION,
+    }
