@@ -100,8 +100,21 @@ COUNTER = {}
 def test_merge_counter_is_the_library(text):
     import sentencepiece
 
-    if not COUNTER:
+    if "m" not in COUNTER:
         COUNTER["m"] = MergeCounter(open(PIECES, "rb").read())
         COUNTER["l"] = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     # the library reads texts as C strings of known length; NUL is a symbol like others
     assert COUNTER["m"].count(text) == len(COUNTER["l"].encode(text))
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n.,'<|>theraoinTHEéßÉİΣ日12\x1c\xa0́"), st.characters(codec="utf-8")), max_size=60))
+def test_word_encoder_is_the_library(text):
+    from tokenizers import Tokenizer
+
+    from tidegauge.llm.packing import WordEncoder
+
+    if "w" not in COUNTER:
+        COUNTER["w"] = WordEncoder(open(WORDS, encoding="utf-8").read())
+        COUNTER["t"] = Tokenizer.from_file(WORDS)
+    assert np.frombuffer(COUNTER["w"].encode([text.encode()])[0], "<u4").tolist() == COUNTER["t"].encode(text, add_special_tokens=False).ids

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from pathlib import Path
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,31 @@ from tokenizers import Tokenizer
 from .bytetext import blocks, text_buffer
 from .runtime import cut
 
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 300_000
 _CACHE_BYTES = 48
+#: Bytes as the letters that byte-level vocabularies write them with: printable ones as they are, the others from 256 on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+class _Words(dict):
+    """Words to ids; a word that is missing is encoded, and kept unless it is long."""
+
+    def __init__(self, encode):
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, w: bytes) -> bytes:
+        ids = self.old.get(w)
+        if ids is None:
+            # a full stop or comma after an ASCII letter is a run of its own: the word before it is looked up alone
+            core = w.rstrip(b".,")
+            ids = self[core] + self[w[len(core) :]] if len(core) < len(w) and core[-1:].isalpha() else self.encode(w)
+        if len(w) <= _CACHE_BYTES:
+            self[w] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts from ids of their space-separated words, kept in two generations of a bounded cache.
 
@@ -34,16 +56,13 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        special = {t["content"] for t in json.loads(definition)["added_tokens"]}
-        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
-        self.lowers = "Lowercase" in json.dumps(json.loads(definition).get("normalizer")) and all("<" in t for t in vocabulary if t in special)
-        self.ends_word = None
-        if suffix:
-            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends_word[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        shape = json.loads(definition)
+        steps = json.dumps([shape.get("normalizer"), shape.get("pre_tokenizer")])
+        self.lowers = "Lowercase" in steps and all("<" in t["content"] for t in shape["added_tokens"])
+        # a word of letters is one run for this kind of tokenizer, and its merges need no other step; check() holds it to that
+        self.letters = shape["model"]["type"] == "BPE" and "ByteLevel" in steps and self.lowers
+        self.merge = self.tokenizer.model.tokenize
+        self.words = _Words(self._word)
 
     @classmethod
     def shared(cls, definition: str) -> WordEncoder:
@@ -52,66 +71,29 @@ class WordEncoder:
             _ENCODERS[key] = cls(definition)
         return _ENCODERS[key]
 
-    def check(self, sample: str = "It's  a\tTEST:\n 12 cafés cafés, x y <|endoftext|>z  don't!! 　end ") -> None:
+    def check(self, sample: str = "It's  a\tTEST:\n 12 cafés cafés, x., y .. <|endoftext|>z.  don't!! 　end, İx ß Σας naïve") -> None:
         whole = self.tokenizer.encode(sample, add_special_tokens=False).ids
         if np.frombuffer(self.encode([sample.encode()])[0], np.uint32).tolist() != whole:
             raise ValueError("this tokenizer joins text across white space")
 
-    def _letters(self, words: list[str]) -> list[bytes] | None:
-        """Ids of words of letters alone, encoded as one text and parted at the tokens that end a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(words):
-            return None
-        raw, at = ids.tobytes(), (4 * np.concatenate([[0], ends])).tolist()
-        return [raw[i:j] for i, j in zip(at[:-1], at[1:])]
-
-    def _new(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        out: dict[int, bytes] = {}
-        plain = [i for i, t in enumerate(texts) if t.isalpha()] if self.ends_word is not None else []
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo : lo + 2000]
-            if (found := self._letters([texts[i] for i in part])) is not None:
-                out.update(zip(part, found))
-        rest = [i for i in range(len(texts)) if i not in out]
-        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        return [out[i] for i in range(len(texts))]
+    def _word(self, w: bytes) -> bytes:
+        """Words of lower-case letters go to the merge model itself; all others through the whole tokenizer."""
+        if self.letters and w.isalpha() and w.islower():  # ASCII
+            return array("I", [t.id for t in self.merge(w.decode())]).tobytes()
+        text = w.decode("utf-8", "replace")
+        if self.letters and text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+            return array("I", [t.id for t in self.merge(w.decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        words = self.words
+        if len(words) > _CACHE_WORDS:
+            self.words = _Words(self._word)
+            words.old, self.words.old = {}, words
+            words = self.words
         # lower case is the tokenizer's own; a special token's string must not come about by it
-        split = [(t if not self.lowers or b"<" in t else t.lower()).split() for t in texts]
-        if len(self.young) > _CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing, once = [], {}
-        for w in set().union(*split):
-            if w not in young:
-                if (v := old.get(w)) is not None:
-                    young[w] = v
-                else:
-                    missing.append(w)
-        if missing:
-            # a full stop or comma after an ASCII letter is a token run of its own: the word before it is looked up alone
-            cores = {}
-            for w in missing:
-                c = w.rstrip(b".,")
-                cores[w] = c if len(c) < len(w) and c[-1:].isalpha() else w
-            new = [c for c in {*cores.values(), *(w[len(c) :] for w, c in cores.items() if len(c) < len(w))} if c not in young]
-            found = {c: v for c in new if (v := old.get(c)) is not None}
-            unknown = [c for c in new if c not in found]
-            found.update(zip(unknown, self._new(unknown)))
-            for w, ids in found.items():
-                (young if len(w) <= _CACHE_BYTES else once)[w] = ids
-            for w, c in cores.items():
-                if len(c) < len(w):
-                    ids = (young[c] if c in young else once[c]) + (young[t] if (t := w[len(c) :]) in young else once[t])
-                    (young if len(w) <= _CACHE_BYTES else once)[w] = ids
-        if once:
-            return [b"".join([young[w] if w in young else once[w] for w in words]) for words in split]
-        return [b"".join(map(young.__getitem__, words)) for words in split]
+        return [b"".join(map(words.__getitem__, (t if not self.lowers or b"<" in t else t.lower()).split())) for t in texts]
 
 
 def _piece_rows(definition, capacity: int, end_id: int, with_ids: bool):
