@@ -245,8 +245,8 @@ class TokenGroupJoin:
 
         first = cut(to_pivot(salted, "token", "salt").where(F.col("often") | (F.col("p") != me)).select("token", "often", "fp", "n", F.col("p.fp").alias("p_fp"), F.col("p.n").alias("p_n")))
         heads = first.where("often").select("token", F.col("p_fp").alias("fp"), F.col("p_n").alias("n")).distinct()
-        second = to_pivot(heads, "token").select("token", F.lit(True).alias("often"), "fp", "n", F.col("p.fp").alias("p_fp"), F.col("p.n").alias("p_n"))
-        return cut(first.unionByName(second).where("fp <> p_fp or n <> p_n").select("token", "fp", "n", "p_fp", "p_n"))
+        second = cut(to_pivot(heads, "token").select("token", F.lit(True).alias("often"), "fp", "n", F.col("p.fp").alias("p_fp"), F.col("p.n").alias("p_n")))
+        return first.unionByName(second).where("fp <> p_fp or n <> p_n").select("token", "fp", "n", "p_fp", "p_n")
 
     def links(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """Those of ``pairs(u, v)`` whose whole sets reach the threshold. Each pair meets the texts of its two nodes."""
@@ -258,34 +258,49 @@ class TokenGroupJoin:
         return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verified(self.sim), "u long, v long")
 
 
-def _openings(probes: DataFrame, groups: DataFrame, sim: Similarity) -> DataFrame:
+def _members(probes: DataFrame) -> DataFrame:
+    """(token, fp, n): every set under each of its first tokens that another set has too."""
+    return probes.select("token", "fp", "n").unionByName(probes.select("token", F.col("p_fp").alias("fp"), F.col("p_n").alias("n"))).distinct()
+
+
+def _allowed(sim: Similarity, shared: str, q: str, lo, hi):
+    """Whether ``shared`` first tokens leave room for the threshold between sets of size q and of sizes from lo to hi.
+
+    Behind its first tokens a set of size n has ``rest(n)`` more, and one of the two sets ends first: the overlap is at
+    most ``shared`` plus the larger rest. The room is monotone in the other size below q and above it.
+    """
+    n = F.col(q).cast("long")
+    rest = lambda x: F.ceil(x * sim.num / sim.den) - 1
+    need = lambda x: F.ceil((n + x) * sim.num / (sim.num + sim.den)) - F.greatest(rest(n), rest(x))
+    return (lo <= hi) & (F.col(shared) >= F.least(need(lo), need(hi), need(F.least(F.greatest(n, lo), hi))))
+
+
+def _possible(pairs: DataFrame, members: DataFrame, sim: Similarity) -> DataFrame:
+    """Those of ``pairs(u, v)`` that their shared first tokens allow; the others never move a text."""
+    a = members.select(F.col("fp").alias("u"), "token", F.col("n").alias("n_u"))
+    b = members.select(F.col("fp").alias("v"), "token", F.col("n").alias("n_v"))
+    counts = pairs.join(a, "u").join(b, ["v", "token"]).groupBy("u", "v", "n_u", "n_v").agg(F.count("*").alias("shared"))
+    size = F.col("n_v").cast("long")
+    return counts.where(_allowed(sim, "shared", "n_u", size, size)).select("u", "v")
+
+
+def _openings(members: DataFrame, groups: DataFrame, sim: Similarity) -> DataFrame:
     """The token-group matrix: pairs (u, v) of sets in different groups that the groups' token unions leave open.
 
     ``groups(node, root)`` are the groups of sets already linked; a set without a row is its own group. A group's
-    column is the union of its members' first tokens; a query set overlaps it in ``shared`` tokens. Members of size
-    s can only reach the threshold with a query of size q if ``shared + max(q - prefix(q), s - prefix(s))`` is
-    at least the required overlap; groups for which no size between their least and largest allows it stay closed.
+    column is the union of its members' first tokens. A query set opens a group, and meets its members, only if its
+    overlap with the union allows the threshold at some size between the group's least and largest.
     """
-    member = probes.select("token", "fp", "n").unionByName(probes.select("token", F.col("p_fp").alias("fp"), F.col("p_n").alias("n"))).distinct()
-    member = member.join(groups, member.fp == groups.node, "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("g"))
-    union = member.groupBy("token", "g").agg(F.min("n").alias("g_min"), F.max("n").alias("g_max"))
-    open_tokens = union.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    member, union = cut(member.join(open_tokens, "token")), cut(union.join(open_tokens, "token"))
-    q = F.col("n").cast("long")
-    bound = union.groupBy("g").agg(F.min("g_min").alias("lo"), F.max("g_max").alias("hi"))
-    met = (
-        member.join(union.select("token", F.col("g").alias("other")), "token").where("g > other")
-        .groupBy("fp", "n", "other").agg(F.count("*").alias("shared"))
-        .join(bound, F.col("other") == bound.g)
-    )
-    lo = F.greatest(F.col("lo").cast("long"), F.ceil(q * sim.num / sim.den).cast("long"))
-    hi = F.least(F.col("hi").cast("long"), F.floor(q * sim.den / sim.num).cast("long"))
-    total = sim.num + sim.den
-    # required overlap minus what lies behind the probed tokens, at both ends of the sizes (both parts are monotone)
-    rest = lambda n: F.ceil(n * sim.num / sim.den) - 1
-    need = lambda s: F.ceil((q + s) * sim.num / total) - F.greatest(rest(q), rest(s))
-    opened = met.where((lo <= hi) & (F.col("shared") >= F.least(need(lo), need(hi), need(F.least(F.greatest(q, lo), hi))))).select("fp", "n", "other")
-    inside = member.select(F.col("g").alias("other"), F.col("fp").alias("s_fp"), F.col("n").alias("s_n")).distinct()
+    grouped = members.join(groups, members.fp == groups.node, "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("g"))
+    open_tokens = grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token")
+    grouped = cut(grouped.join(open_tokens, "token"))
+    union = grouped.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    bound = union.groupBy("g").agg(F.min("lo").cast("long").alias("lo"), F.max("hi").cast("long").alias("hi")).withColumnRenamed("g", "other")
+    met = grouped.join(union.select("token", F.col("g").alias("other")), "token").where("g > other").groupBy("fp", "n", "other").agg(F.count("*").alias("shared"))
+    lo = F.greatest(F.col("lo"), F.ceil(F.col("n") * sim.num / sim.den).cast("long"))
+    hi = F.least(F.col("hi"), F.floor(F.col("n") * sim.den / sim.num).cast("long"))
+    opened = met.join(bound, "other").where(_allowed(sim, "shared", "n", lo, hi)).select("fp", "n", "other")
+    inside = grouped.select(F.col("g").alias("other"), F.col("fp").alias("s_fp"), F.col("n").alias("s_n")).distinct()
     return opened.join(inside, "other").where(_size_fits(sim, "n", "s_n")).select(F.greatest("fp", "s_fp").alias("u"), F.least("fp", "s_fp").alias("v")).distinct()
 
 
@@ -300,7 +315,7 @@ def jaccard_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     2. Token counts over all documents fill a map of fixed size that puts frequent tokens last; each set is indexed
        under its first tokens in that order, of which two similar sets share one at least.
     3. Each set is compared with its tokens' pivots, the smallest sets there: linear in the index. Linked sets form
-       the groups of similar documents.
+       the groups of similar documents. Texts move only for pairs whose shared first tokens allow a link.
     4. The token-group matrix holds each group's token union; a set outside opens only the groups that its overlap
        with the union allows, and is compared with their members.
 
@@ -311,10 +326,11 @@ def jaccard_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sets = join.sets()
     reps = cut(sets.where("n > 0 and doc is not null").groupBy("fp").agg(F.min(F.struct("doc", "copy")).alias("r")).select("fp", "r.doc", "r.copy"))
     probes = join.probes(sets)
+    members = _members(probes)
     near = probes.where(_size_fits(sim, "n", "p_n")).select(F.greatest("fp", "p_fp").alias("u"), F.least("fp", "p_fp").alias("v")).distinct()
-    links = cut(join.links(near, reps))
+    links = cut(join.links(cut(_possible(near, members, sim)), reps))
     groups = cut(connected_components(links))
-    more = cut(_openings(probes, groups, sim))
+    more = cut(_possible(_openings(members, groups, sim), members, sim))
     if not more.isEmpty():
         links = links.unionByName(cut(join.links(more, reps)))
     # rows of one id also hang together: the ids are what is returned
