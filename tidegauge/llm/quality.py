@@ -68,8 +68,9 @@ class OrdinalModel:
     thresholds: np.ndarray
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
-        """P(grade >= k) for k = 1.. as columns; never increasing with k."""
-        return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
+        """P(grade >= k) for k = 1.. as columns; never increasing with k, and 0 where the score is minus infinity."""
+        s = scores.reshape(-1, 1).astype(np.float64)
+        return np.where(np.isneginf(s), 0.0, 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - s, -500, 500))))
 
 
 def _sigmoid(x: float) -> float:
@@ -92,12 +93,13 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, *, bits: int, levels
         return OrdinalModel(bits, weights, theta)
     flat = np.concatenate(rows)
     df = np.bincount(flat, minlength=1 << bits)
-    each = np.repeat(grades, [len(r) for r in rows])
+    each = np.repeat(grades.astype(np.int8), [len(r) for r in rows])
     strength = np.zeros(1 << bits)
     for k in range(1, levels):
         p = min(max((grades >= k).mean(), 1e-6), 1 - 1e-6)
         seen = np.bincount(flat[each >= k], minlength=1 << bits)
         strength = np.maximum(strength, np.abs(seen - p * df) / np.sqrt(np.maximum(df, 1) * p * (1 - p)))
+    del flat, each
     names = np.flatnonzero(strength >= screen)
     column = np.full(1 << bits, -1, np.int32)
     column[names] = np.arange(len(names))
@@ -156,11 +158,9 @@ def _score_rows(model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            found = list(features(*text_buffer(batch.column(1)), m.bits))
-            some = np.array([len(f) > 0 for f in found], bool)
-            scores = np.array([m.weights[f].sum(dtype=np.float64) for f in found])
-            tails = m.tails(scores) * some[:, None] if len(found) else np.empty((0, len(m.thresholds)))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * tails.shape[1], pa.int32()), pa.array(tails.ravel()))
+            scores = np.array([m.weights[f].sum(dtype=np.float64) if len(f) else -np.inf for f in features(*text_buffer(batch.column(1)), m.bits)])
+            tails = m.tails(scores)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1) * tails.shape[1], pa.int32()), pa.array(tails.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), flat], names=["doc", "expected_grade", "tails"])
 
     return rows
@@ -170,10 +170,10 @@ def _kept_rows(model, tail: int, least: float, at: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            found = list(features(*text_buffer(batch.column(at)), m.bits))
-            scores = np.array([m.weights[f].sum(dtype=np.float64) if len(f) else -np.inf for f in found])
-            if len(found):
-                yield batch.filter(pa.array(m.tails(scores)[:, tail - 1] >= least))
+            for lo, hi in blocks(text_buffer(batch.column(at))[1], 8 << 20):
+                part = batch.slice(lo, hi - lo)
+                scores = np.array([m.weights[f].sum(dtype=np.float64) if len(f) else -np.inf for f in features(*text_buffer(part.column(at)), m.bits)])
+                yield part.filter(pa.array(m.tails(scores)[:, tail - 1] >= least))
 
     return rows
 
