@@ -23,8 +23,9 @@ _RANGE_TOKENS = 1 << 24  # tokens of one range of the count
 _SUB_BITS = 32
 _OFTEN_BITS = 26  # the map of frequent tokens has 8 MB whatever the input
 _OFTEN_FILL = 1 << 22
-_TWICE_BITS = 28  # the map of tokens in two documents or more has 32 MB whatever the input
+_TWICE_BITS = 27  # the map of tokens in two documents or more has 16 MB whatever the input
 _LEVELS = (32, 256, 2048, 16384, 1 << 17)
+_QUERY_BLOCK, _MEMBER_BLOCK = 256, 64
 _NEEDED = 1 << 26  # bits of the map of documents whose texts are compared: 8 MB
 _SALTS = 64
 
@@ -43,7 +44,10 @@ class Similarity:
 
 
 def _fingerprint(s: np.ndarray) -> int:
-    return int(np.bitwise_xor.reduce(s * _U(0x9E3779B97F4A7C15) ^ (s >> _U(31))) ^ (s.sum(dtype=np.uint64) * _U(0xD1B54A32D192ED03))) & (2**63 - 1) if len(s) else 0
+    if not len(s):
+        return 0
+    mixed, total = np.bitwise_xor.reduce(s * _U(0x9E3779B97F4A7C15) ^ (s >> _U(31))), int(s.sum(dtype=np.uint64))
+    return (int(mixed) ^ (total * 0xD1B54A32D192ED03)) & (2**63 - 1)
 
 
 def _set_rows(sim: Similarity):
@@ -157,29 +161,33 @@ def _is_set(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _probe_rows(sim: Similarity, maps):
-    """The first tokens of each set, frequent tokens last, without those of one document: (token, often, fp, n)."""
+    """The first core tokens of each set, frequent ones last: (token, often, fp, n, r).
+
+    The core are the tokens of a set that the map allows to another document. Links lie in it, so a set needs at
+    least the overlap with the smallest partner there; sets with less are not indexed. r counts the core's tokens from
+    this one on: no more than r are shared with a set whose first common token this is.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, twice = maps.value
         for batch in batches:
-            parts, fps, ns = [], [], []
+            parts, rests, sets = [], [], []
             for s in shingle_sets(batch.column(0), WORD_BYTES, sim.width):
-                if len(s):
-                    often = _is_set(s, frequent)
-                    p = sim.prefix(len(s))
-                    first = s[~often][:p]
-                    if len(first) < p:
-                        first = np.concatenate([first, s[often][: p - len(first)]])
-                    parts.append(first[_is_set(first, twice)])
-                    fps.append(_fingerprint(s))
-                    ns.append(len(s))
+                core = s[_is_set(s, twice)]
+                p = sim.prefix(len(s)) - (len(s) - len(core))
+                if p > 0:
+                    often = _is_set(core, frequent)
+                    parts.append(np.concatenate([core[~often], core[often]])[:p])
+                    rests.append(np.arange(len(core), len(core) - p, -1))
+                    sets.append((_fingerprint(s), len(s)))
             if parts:
-                sizes = [len(x) for x in parts]
+                fp, n = np.repeat(np.array(sets, np.int64), [len(x) for x in parts], axis=0).T
+                r = np.concatenate(rests)
                 tokens = np.concatenate(parts)
-                fp, n = np.repeat(np.array(fps, np.int64), sizes), np.repeat(np.array(ns, np.int32), sizes)
                 for lo in range(0, len(tokens), 1 << 18):
                     t = tokens[lo : lo + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(_is_set(t, frequent)), pa.array(fp[lo : lo + len(t)]), pa.array(n[lo : lo + len(t)])], names=["token", "often", "fp", "n"])
+                    own = slice(lo, lo + len(t))
+                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(_is_set(t, frequent)), pa.array(fp[own]), pa.array(n[own].astype(np.int32)), pa.array(r[own].astype(np.int32))], names=["token", "often", "fp", "n", "r"])
 
     return rows
 
@@ -196,8 +204,9 @@ def _verified(sim: Similarity):
     return rows
 
 
-def _size_fits(sim: Similarity, a: str, b: str):
-    return (F.col(a) * sim.den >= F.col(b) * sim.num) & (F.col(b) * sim.den >= F.col(a) * sim.num)
+def _fits(sim: Similarity, n, m, core):
+    """Whether sets of sizes n and m can reach the threshold if they share ``core`` tokens at most."""
+    return (n * sim.den >= m * sim.num) & (m * sim.den >= n * sim.num) & (core * (sim.num + sim.den) >= (n + m) * sim.num)
 
 
 def _those(docs: DataFrame, owners: DataFrame) -> DataFrame:
@@ -226,50 +235,71 @@ class TokenGroupJoin:
         return cut(self.docs.mapInArrow(_set_rows(self.sim), "doc long, copy long, fp long, n long"))
 
     def probes(self, sets: DataFrame) -> DataFrame:
-        """(token, pivot, fp, n, p_fp, p_n): each distinct set under its first tokens, with the token's pivot.
+        """(token, fp, n, r, p_fp, p_n, p_r): each set under its first tokens, with the token's pivot.
 
-        Rows of tokens that only one set has are gone. The rows of a frequent token are dealt over salts, each with
-        its own pivot, and these pivots meet in a second, small window.
+        The pivot is the set with the fewest tokens of its own, so of a group of near copies the one that most others
+        are near to. Rows of tokens that only one set has are gone. The rows of a frequent token are dealt over salts,
+        each with its own pivot, and these pivots meet in a second, small window.
         """
         tokens = int(sets.agg(F.sum("n")).first()[0] or 0)
         texts = self.docs.select("text")
         maps = self.spark.sparkContext.broadcast(_token_maps(texts, tokens, self.sim))
-        rows = texts.mapInArrow(_probe_rows(self.sim, maps), "token long, often boolean, fp long, n int")
+        rows = texts.mapInArrow(_probe_rows(self.sim, maps), "token long, often boolean, fp long, n int, r int")
         salted = rows.withColumn("salt", F.when(F.col("often"), F.pmod(F.col("fp"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int"))
-        me = F.struct("n", "fp")
+        # the less of a set is its own and the earlier the token comes, the more of it is left: r / n
+        me = F.struct((F.col("r") / F.col("n") * -1).alias("own"), "n", "fp", "r")
+        columns = ["token", "often", "fp", "n", "r", F.col("p.fp").alias("p_fp"), F.col("p.n").alias("p_n"), F.col("p.r").alias("p_r")]
 
         def to_pivot(frame: DataFrame, *keys: str) -> DataFrame:
-            w = Window.partitionBy(*keys).orderBy("n", "fp")
+            w = Window.partitionBy(*keys).orderBy(me)
             seen = frame.withColumns({"p": F.first(me).over(w), "prev": F.lag(me).over(w)})
             return seen.where(F.col("prev").isNull() | (F.col("prev") != me)).drop("prev")
 
-        first = cut(to_pivot(salted, "token", "salt").where(F.col("often") | (F.col("p") != me)).select("token", "often", "fp", "n", F.col("p.fp").alias("p_fp"), F.col("p.n").alias("p_n")))
-        heads = first.where("often").select("token", F.col("p_fp").alias("fp"), F.col("p_n").alias("n")).distinct()
-        second = cut(to_pivot(heads, "token").select("token", F.lit(True).alias("often"), "fp", "n", F.col("p.fp").alias("p_fp"), F.col("p.n").alias("p_n")))
-        return first.unionByName(second).where("fp <> p_fp or n <> p_n").select("token", "fp", "n", "p_fp", "p_n")
+        first = cut(to_pivot(salted, "token", "salt").where(F.col("often") | (F.col("p") != me)).select(*columns))
+        heads = first.where("often").select("token", "often", F.col("p_fp").alias("fp"), F.col("p_n").alias("n"), F.col("p_r").alias("r")).distinct()
+        second = cut(to_pivot(heads, "token").select(*columns))
+        return first.unionByName(second).where("fp <> p_fp").drop("often")
+
+    def texts(self, needed: DataFrame, reps: DataFrame) -> DataFrame:
+        """(u, text) of the nodes ``needed(u)``."""
+        owners = reps.join(needed.distinct(), reps.fp == needed.u).select("u", "doc", "copy")
+        return owners.join(_those(self.docs.where("doc is not null"), owners), ["doc", "copy"]).select("u", "text")
+
+    def opened_links(self, opened: DataFrame, inside: DataFrame, reps: DataFrame) -> DataFrame:
+        """(u, v): links between sets and members of the groups that they open.
+
+        Queries and members of a group meet in blocks of bounded size, one task each, so that neither a large group
+        nor many queries gather in one; texts move once for each block of the other side.
+        """
+        own = inside.join(opened.select("other").distinct(), "other", "left_semi")
+        sizes = opened.groupBy("other").agg(F.ceil(F.count("*") / _QUERY_BLOCK).alias("nq")).join(own.groupBy("other").agg(F.ceil(F.count("*") / _MEMBER_BLOCK).alias("nm")), "other")
+        spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        q = opened.join(sizes, "other").select("other", F.col("fp").alias("u"), F.pmod(F.xxhash64("fp"), F.col("nq")).alias("qb"), spread("nm").alias("mb"))
+        m = own.join(sizes, "other").select("other", F.col("s").alias("u"), F.pmod(F.xxhash64("s"), F.col("nm")).alias("mb"), spread("nq").alias("qb"))
+        texts = self.texts(q.select("u").unionByName(m.select("u")), reps)
+        keys = ["other", "qb", "mb"]
+        sides = [x.join(texts, "u").select(*[F.col(k).alias(k) for k in keys], F.col("u").alias("fp"), F.col("text").alias("text")).groupBy(*keys) for x in (q, m)]
+        return sides[0].cogroup(sides[1]).applyInArrow(_opened_links(self.sim), "u long, v long")
 
     def links(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """Those of ``pairs(u, v)`` whose whole sets reach the threshold. Each pair meets the texts of its two nodes."""
-        needed = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
-        owners = reps.join(needed, reps.fp == needed.u).select("u", "doc", "copy")
-        with_text = owners.join(_those(self.docs.where("doc is not null"), owners), ["doc", "copy"]).select("u", "text")
+        with_text = self.texts(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))), reps)
         a = with_text.withColumnRenamed("text", "a")
         b = with_text.select(F.col("u").alias("v"), F.col("text").alias("b"))
         return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verified(self.sim), "u long, v long")
 
 
 def _members(probes: DataFrame) -> DataFrame:
-    """(token, fp, n): every set under each of its first tokens that another set has too."""
-    return probes.select("token", "fp", "n").unionByName(probes.select("token", F.col("p_fp").alias("fp"), F.col("p_n").alias("n"))).distinct()
+    """(token, fp, n, r): every set under each of its first tokens that another set has too."""
+    return probes.select("token", "fp", "n", "r").unionByName(probes.select("token", F.col("p_fp").alias("fp"), F.col("p_n").alias("n"), F.col("p_r").alias("r"))).distinct()
 
 
-def _allowed(sim: Similarity, shared: str, q: str, lo, hi):
-    """Whether ``shared`` first tokens leave room for the threshold between sets of size q and of sizes from lo to hi.
+def _allowed(sim: Similarity, shared: str, n, lo, hi):
+    """Whether ``shared`` first tokens leave room for the threshold between sets of size n and of sizes from lo to hi.
 
-    Behind its first tokens a set of size n has ``rest(n)`` more, and one of the two sets ends first: the overlap is at
-    most ``shared`` plus the larger rest. The room is monotone in the other size below q and above it.
+    Behind its first tokens a set of size x has ``rest(x)`` more core tokens, and one of the two sets ends first: the
+    overlap is at most ``shared`` plus the larger rest. The room is monotone in the other size below n and above it.
     """
-    n = F.col(q).cast("long")
     rest = lambda x: F.ceil(x * sim.num / sim.den) - 1
     need = lambda x: F.ceil((n + x) * sim.num / (sim.num + sim.den)) - F.greatest(rest(n), rest(x))
     return (lo <= hi) & (F.col(shared) >= F.least(need(lo), need(hi), need(F.least(F.greatest(n, lo), hi))))
@@ -277,31 +307,55 @@ def _allowed(sim: Similarity, shared: str, q: str, lo, hi):
 
 def _possible(pairs: DataFrame, members: DataFrame, sim: Similarity) -> DataFrame:
     """Those of ``pairs(u, v)`` that their shared first tokens allow; the others never move a text."""
-    a = members.select(F.col("fp").alias("u"), "token", F.col("n").alias("n_u"))
-    b = members.select(F.col("fp").alias("v"), "token", F.col("n").alias("n_v"))
+    a = members.select(F.col("fp").alias("u"), "token", F.col("n").cast("long").alias("n_u"))
+    b = members.select(F.col("fp").alias("v"), "token", F.col("n").cast("long").alias("n_v"))
     counts = pairs.join(a, "u").join(b, ["v", "token"]).groupBy("u", "v", "n_u", "n_v").agg(F.count("*").alias("shared"))
-    size = F.col("n_v").cast("long")
-    return counts.where(_allowed(sim, "shared", "n_u", size, size)).select("u", "v")
+    return counts.where(_allowed(sim, "shared", F.col("n_u"), F.col("n_v"), F.col("n_v"))).select("u", "v")
 
 
-def _openings(members: DataFrame, groups: DataFrame, sim: Similarity) -> DataFrame:
-    """The token-group matrix: pairs (u, v) of sets in different groups that the groups' token unions leave open.
+def _openings(members: DataFrame, groups: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]:
+    """The token-group matrix: (opened, inside), the sets ``fp`` that open a group, and the groups' members.
 
     ``groups(node, root)`` are the groups of sets already linked; a set without a row is its own group. A group's
-    column is the union of its members' first tokens. A query set opens a group, and meets its members, only if its
-    overlap with the union allows the threshold at some size between the group's least and largest.
+    column is the union of its members' first tokens, with the sizes and the rests that stand behind each token.
+    A query set meets a group only at a token that leaves both enough, and opens it if its overlap with the whole
+    union allows the threshold at some size between the group's least and largest.
     """
-    grouped = members.join(groups, members.fp == groups.node, "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("g"))
+    grouped = members.join(groups, members.fp == groups.node, "left").select("token", "fp", F.col("n").cast("long").alias("n"), F.col("r").cast("long").alias("r"), F.coalesce("root", "fp").alias("g"))
     open_tokens = grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token")
     grouped = cut(grouped.join(open_tokens, "token"))
-    union = grouped.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    bound = union.groupBy("g").agg(F.min("lo").cast("long").alias("lo"), F.max("hi").cast("long").alias("hi")).withColumnRenamed("g", "other")
-    met = grouped.join(union.select("token", F.col("g").alias("other")), "token").where("g > other").groupBy("fp", "n", "other").agg(F.count("*").alias("shared"))
-    lo = F.greatest(F.col("lo"), F.ceil(F.col("n") * sim.num / sim.den).cast("long"))
-    hi = F.least(F.col("hi"), F.floor(F.col("n") * sim.den / sim.num).cast("long"))
-    opened = met.join(bound, "other").where(_allowed(sim, "shared", "n", lo, hi)).select("fp", "n", "other")
-    inside = grouped.select(F.col("g").alias("other"), F.col("fp").alias("s_fp"), F.col("n").alias("s_n")).distinct()
-    return opened.join(inside, "other").where(_size_fits(sim, "n", "s_n")).select(F.greatest("fp", "s_fp").alias("u"), F.least("fp", "s_fp").alias("v")).distinct()
+    union = grouped.groupBy("token", F.col("g").alias("other")).agg(F.min("n").alias("t_lo"), F.max("n").alias("t_hi"), F.max("r").alias("t_r"))
+    n = F.col("n")
+    lo, hi = F.ceil(n * sim.num / sim.den), F.floor(n * sim.den / sim.num)
+    least = F.greatest(F.col("t_lo"), lo)
+    meets = (F.col("g") > F.col("other")) & (least <= F.least(F.col("t_hi"), hi)) & (F.least("r", "t_r") * (sim.num + sim.den) >= (n + least) * sim.num)
+    met = cut(grouped.join(union, "token").where(meets).select("fp", "n", "other").distinct())
+    columns = union.select("token", F.col("other").alias("u_other"), "t_lo", "t_hi")
+    both = met.join(grouped.select(F.col("fp").alias("q"), "token"), F.col("fp") == F.col("q")).join(columns, ["token"]).where("other = u_other")
+    shared = both.groupBy("fp", "n", "other").agg(F.count("*").alias("shared"))
+    bound = union.groupBy("other").agg(F.min("t_lo").alias("g_lo"), F.max("t_hi").alias("g_hi"))
+    opened = shared.join(bound, "other").where(_allowed(sim, "shared", n, F.greatest("g_lo", lo), F.least("g_hi", hi))).select("fp", "other")
+    return cut(opened), grouped.select(F.col("g").alias("other"), F.col("fp").alias("s")).distinct()
+
+
+def _opened_links(sim: Similarity):
+    """Sets of one block of queries against one block of a group's members: one link a query is enough."""
+
+    def reduce(queries: pa.Table, members: pa.Table) -> pa.Table:
+        fps, texts = members.column("fp").to_pylist(), members.column("text")
+        sets = list(shingle_sets(texts, WORD_BYTES, sim.width))
+        u, v = [], []
+        for q, a in zip(queries.column("fp").to_pylist(), shingle_sets(queries.column("text"), WORD_BYTES, sim.width)):
+            for s, b in zip(fps, sets):
+                if sim.den * min(len(a), len(b)) >= sim.num * max(len(a), len(b)):
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if sim.den * both >= sim.num * (len(a) + len(b) - both):
+                        u.append(max(q, s))
+                        v.append(min(q, s))
+                        break
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return reduce
 
 
 def jaccard_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sim: Similarity = Similarity()) -> DataFrame:
@@ -312,10 +366,11 @@ def jaccard_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     set, links with nothing and is its own component. No link is lost:
 
     1. Documents of equal sets are one node (a group of copies costs one node, whatever its size).
-    2. Token counts over all documents fill a map of fixed size that puts frequent tokens last; each set is indexed
-       under its first tokens in that order, of which two similar sets share one at least.
-    3. Each set is compared with its tokens' pivots, the smallest sets there: linear in the index. Linked sets form
-       the groups of similar documents. Texts move only for pairs whose shared first tokens allow a link.
+    2. Token counts over all documents fill two maps of fixed size. By them a set's own tokens, which link nothing, are
+       set apart and frequent tokens come last; each set is indexed under its first tokens in that order, of which two
+       similar sets share one at least.
+    3. Each set is compared with its tokens' pivots: linear in the index. Linked sets form the groups of similar
+       documents. Texts move only for pairs whose shared first tokens allow a link.
     4. The token-group matrix holds each group's token union; a set outside opens only the groups that its overlap
        with the union allows, and is compared with their members.
 
@@ -327,12 +382,11 @@ def jaccard_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     reps = cut(sets.where("n > 0 and doc is not null").groupBy("fp").agg(F.min(F.struct("doc", "copy")).alias("r")).select("fp", "r.doc", "r.copy"))
     probes = join.probes(sets)
     members = _members(probes)
-    near = probes.where(_size_fits(sim, "n", "p_n")).select(F.greatest("fp", "p_fp").alias("u"), F.least("fp", "p_fp").alias("v")).distinct()
+    near = probes.where(_fits(sim, F.col("n"), F.col("p_n"), F.least("r", "p_r"))).select(F.greatest("fp", "p_fp").alias("u"), F.least("fp", "p_fp").alias("v")).distinct()
     links = cut(join.links(cut(_possible(near, members, sim)), reps))
     groups = cut(connected_components(links))
-    more = cut(_possible(_openings(members, groups, sim), members, sim))
-    if not more.isEmpty():
-        links = links.unionByName(cut(join.links(more, reps)))
+    opened, inside = _openings(members, groups, sim)
+    links = links.unionByName(cut(join.opened_links(opened, inside, reps)))
     # rows of one id also hang together: the ids are what is returned
     class_of = sets.where("n > 0 and doc is not null").join(reps.select("fp", F.col("doc").alias("rep")), "fp").select("doc", "rep")
     names = reps.select("fp", "doc")
