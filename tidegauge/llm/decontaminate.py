@@ -62,6 +62,10 @@ def _index_rows(vocabulary: np.ndarray | None):
     return rows
 
 
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
 def positional_index(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: np.ndarray | None = None) -> DataFrame:
     """One row per block of about 2 MB of documents: their ids and word counts, the block's terms and posting lists.
 
@@ -70,7 +74,7 @@ def positional_index(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     no test item has. Null texts have no words; a text longer than a block is a block of its own. The frame can be
     written as Parquet and searched later. An empty table gives no rows; other columns are ignored.
     """
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_index_rows(vocabulary), _INDEX)
+    return _documents(df, id_col, text_col).mapInArrow(_index_rows(vocabulary), _INDEX)
 
 
 class _Block:
@@ -209,7 +213,9 @@ def decontaminate(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
     if len(chunks) == 1:
         vocabulary, words = chunks[0]
         windows = spark.sparkContext.broadcast(item_windows(words, width))
-        found = positional_index(df, id_col=id_col, text_col=text_col, vocabulary=vocabulary).mapInArrow(_hits(windows), "doc long, n_words long, n_hit long, items array<long>")
+        build, search = _index_rows(vocabulary), _hits(windows)
+        # an index that is searched once is built and searched block by block in one pass
+        found = _documents(df, id_col, text_col).mapInArrow(lambda batches: search(build(batches)), "doc long, n_words long, n_hit long, items array<long>")
         return found.select(F.col("doc").alias(id_col), "n_words", "n_hit", "items")
     index = cut(positional_index(df, id_col=id_col, text_col=text_col).withColumn("block", F.monotonically_increasing_id()))
     runs = None

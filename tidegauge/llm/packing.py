@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from .bytetext import blocks, text_buffer
 from .runtime import cut
 
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
 _CACHE_BYTES = 48
 #: Bytes as the letters that byte-level vocabularies write them with: printable ones as they are, the others from 256 on.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
