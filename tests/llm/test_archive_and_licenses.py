@@ -36,7 +36,7 @@ def test_layout_and_tree(spark):
     assert at == sum(len(x) + len(RECORD_END) for x in raw)
     assert sorted(r.digest for r in got) == sorted(hashlib.sha256(x).hexdigest() for x in raw)
     level = [hashlib.sha256(f"{r.offset}:{r['length']}:{r.digest}".encode()).hexdigest() for r in got]
-    tree = {(r.level, r.node): r.hash for r in merkle_tree(layout(recs)).collect()}
+    tree = {(r.level, r.node): r.hash for level in merkle_tree(layout(recs)) for r in level.collect()}
     k = 0
     while True:
         assert [tree[k, i] for i in range(len(level))] == level

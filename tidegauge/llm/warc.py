@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .runtime import cut, shuffle_partitions
 
-FANOUT = 16
+FANOUT = 64
+_LEVEL_ROWS = 100_000  # rows of one partition of a level
+_DIFFERENT = 32  # partitions of the nodes that differ
 #: Ends a record; as Spark's line separator it makes text files of records valid WARC files.
 RECORD_END = "\r\n\r\n"
 
@@ -80,22 +82,25 @@ def layout(recs: DataFrame) -> DataFrame:
     )
 
 
-def merkle_tree(placed: DataFrame) -> DataFrame:
-    """(level, node, first, last, hash): level 0 has the records, each upper node the hash of up to 16 below it.
+def merkle_tree(placed: DataFrame) -> list[DataFrame]:
+    """(level, node, first, last, hash) by level: level 0 has the records, each upper node the hash of up to 64 below it.
 
     A leaf's hash covers the record's offset, length and digest, so a tree vouches for an ordered range of offsets.
     The number of levels follows from the number of records; the last has the root alone. Without records: no rows.
     """
     leaf = placed.select("nth", "offset", "length", F.sha2(F.concat_ws(":", "offset", "length", "digest").cast("binary"), 256).alias("hash"))
-    level = cut(leaf.select(F.lit(0).alias("level"), F.col("nth").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), "hash"))
-    n, k, tree = level.count(), 0, level
+    n = placed.count()
+    width = lambda rows: max(1, rows // _LEVEL_ROWS)
+    level = cut(leaf.select(F.lit(0).alias("level"), F.col("nth").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), "hash").coalesce(width(n)))
+    k, tree = 0, [level]
     while n > 1:
         k += 1
         hashes = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda c: c["hash"])
         level = level.groupBy(F.expr(f"node div {FANOUT}").alias("node")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sha2(F.array_join(hashes, "").cast("binary"), 256).alias("hash"))
-        level = cut(level.select(F.lit(k).alias("level"), "node", "first", "last", "hash"))
-        tree = tree.unionByName(level)
         n = -(-n // FANOUT)
+        # small levels are one partition, and then need no exchange
+        level = cut(level.select(F.lit(k).alias("level"), "node", "first", "last", "hash").coalesce(width(n)))
+        tree.append(level)
     return tree
 
 
@@ -103,28 +108,26 @@ def _differs(a: str, b: str) -> Column:
     return ~F.col(a).eqNullSafe(F.col(b))
 
 
-def audit(left: DataFrame, right: DataFrame) -> DataFrame:
+def audit(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
     """(node, left_first, left_last, right_first, right_last): the leaves in which two trees differ.
 
     Roots are compared first, then only the children of nodes that differ, level by level; equal trees end at the
     root. A node that one tree lacks differs (its other side is null). Trees of unlike height are compared from the
     lower one's root level on.
     """
-    height = lambda t: t.agg(F.max("level")).first()[0]
-    tops = [h for h in (height(left), height(right)) if h is not None]
-    level = min(tops) if len(tops) == 2 else max(tops, default=0)
+    level = min(len(left), len(right)) - 1
 
     def compared(k: int, parents: DataFrame | None) -> DataFrame:
         side = []
         for name, t in (("left", left), ("right", right)):
-            own = t.where(F.col("level") == k).select("node", F.col("first").alias(f"{name}_first"), F.col("last").alias(f"{name}_last"), F.col("hash").alias(f"{name}_hash"))
+            own = t[k].select("node", F.col("first").alias(f"{name}_first"), F.col("last").alias(f"{name}_last"), F.col("hash").alias(f"{name}_hash"))
             side.append(own if parents is None else own.withColumn("up", F.expr(f"node div {FANOUT}")).join(parents, "up", "left_semi").drop("up"))
         return side[0].join(side[1], "node", "full").where(_differs("left_hash", "right_hash"))
 
-    bad = cut(compared(level, None))
+    bad = compared(level, None)
     while level:
         level -= 1
-        bad = cut(compared(level, bad.select(F.col("node").alias("up"))))
+        bad = cut(compared(level, bad.select(F.col("node").alias("up"))).coalesce(_DIFFERENT))
     return bad.drop("left_hash", "right_hash")
 
 
