@@ -87,13 +87,9 @@ def corners(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         score = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         inner = score[_MARGIN:-_MARGIN, _MARGIN:-_MARGIN]
-        top = np.ones(inner.shape, bool)
-        for dy in range(-2, 3):
-            for dx in range(-2, 3):
-                if dy or dx:
-                    other = score[_MARGIN + dy : score.shape[0] - _MARGIN + dy, _MARGIN + dx : score.shape[1] - _MARGIN + dx]
-                    top &= inner > other if (dy, dx) > (0, 0) else inner >= other
-        y, x = np.nonzero(top & (inner > 50.0))
+        around = np.max([score[2 + k : score.shape[0] - 2 + k] for k in range(-2, 3)], axis=0)
+        around = np.max([around[:, 2 + k : score.shape[1] - 2 + k] for k in range(-2, 3)], axis=0)[_MARGIN - 2 : -(_MARGIN - 2), _MARGIN - 2 : -(_MARGIN - 2)]
+        y, x = np.nonzero((inner == around) & (inner > 50.0))
         best = np.argsort(-inner[y, x], kind="stable")[:keep]
         y, x = y[best] + _MARGIN, x[best] + _MARGIN
         if not len(y):
@@ -111,48 +107,41 @@ def corners(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(tests)
 
 
-_CORNERS = "node long, kp int, tab int, code long, y double, x double, scale double, turn int"
+_CORNER = "struct<kp:int,codes:array<bigint>,y:double,x:double,scale:double,turn:int>"
+_DESCRIBED = f"id long, node long, corners array<{_CORNER}>"
 
 
-def _corner_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weights = np.left_shift(np.int64(1), np.arange(32, dtype=np.int64))
     for batch in batches:
-        out: list[np.ndarray] = []
-        nodes = batch.column(0).to_numpy()
-        for node, raw in zip(nodes, batch.column(1)):
-            pixels = decode_pgm(raw.as_py())
-            if pixels is None:
-                continue
-            place, tests = corners(pixels)
-            if len(place):
-                codes = tests[:, _BITS] @ weights
-                kp = np.arange(len(place))
-                for t in range(_TABLES):
-                    out.append(np.rec.fromarrays([np.full(len(kp), node), kp, np.full(len(kp), t), codes[:, t], *place.T], names="node,kp,tab,code,y,x,scale,turn"))
-        if out:
-            r = np.concatenate(out)
-            kinds = (np.int64, np.int32, np.int32, np.int64, np.float64, np.float64, np.float64, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r[n]).astype(k)) for n, k in zip(r.dtype.names, kinds)], names=list(r.dtype.names))
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node = []
-        for raw in batch.column(1):
-            pixels = decode_pgm(raw.as_py())
-            node.append(None if pixels is None else int.from_bytes(hashlib.blake2b(repr(pixels.shape).encode() + pixels.tobytes(), digest_size=8).digest(), "little", signed=True))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), batch.column(1)], names=["id", "node", "image"])
-
-
-def image_links(nodes: DataFrame, *, inliers: int = 6, bin_px: float = 8.0) -> DataFrame:
-    """Distinct (u, v): pairs of images ``nodes(node, image)`` whose corners agree on one similarity transform.
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            node, sizes, places, codes = [], [], [], []
+            for raw in part.column(1):
+                pixels = decode_pgm(raw.as_py())
+                place, tests = corners(pixels) if pixels is not None else (np.empty((0, 4)), np.empty((0, _TESTS), bool))
+                node.append(None if pixels is None else int.from_bytes(hashlib.blake2b(repr(pixels.shape).encode() + pixels.tobytes(), digest_size=8).digest(), "little", signed=True))
+                sizes.append(len(place))
+                places.append(place)
+                codes.append(tests[:, _BITS] @ weights)
+            place, code = np.concatenate(places), np.concatenate(codes)
+            kp = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            table = pa.ListArray.from_arrays(pa.array(np.arange(len(code) + 1) * _TABLES, pa.int32()), pa.array(code.ravel()))
+            one = pa.StructArray.from_arrays([pa.array(kp), table, *[pa.array(place[:, k].copy()) for k in range(3)], pa.array(place[:, 3].astype(np.int32))], names=["kp", "codes", "y", "x", "scale", "turn"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), one)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.int64()), lists], names=["id", "node", "corners"])
+
+
+def image_links(described: DataFrame, *, inliers: int = 6, bin_px: float = 8.0) -> DataFrame:
+    """Distinct (u, v): pairs of images ``described(node, corners)`` whose corners agree on one similarity transform.
 
     Corners meet in ``_TABLES`` tables of 32 test bits each. In a table's bucket every image is compared with the
     bucket's least image and with the one before it in order, so a bucket costs as many pairs as rows, however many
     copies it holds; the links of a group of copies form one component. Each hit votes for the scale, turn and shift
     that take one image to the other, in two overlapping grids; ``inliers`` distinct corners in one cell make a link.
     """
-    rows = cut(nodes.mapInArrow(_corner_rows, _CORNERS))
+    each = described.select("node", F.explode("corners").alias("c"))
+    rows = each.select("node", F.posexplode("c.codes").alias("tab", "code"), "c.kp", "c.y", "c.x", "c.scale", "c.turn")
     me = F.struct("node", "kp", "y", "x", "scale", "turn")
     w = Window.partitionBy("tab", "code").orderBy("node", "kp")
     hits = rows.select("tab", "code", me.alias("a"), F.first(me).over(w).alias("b"), F.lag(me).over(w).alias("c"))
@@ -164,7 +153,10 @@ def image_links(nodes: DataFrame, *, inliers: int = 6, bin_px: float = 8.0) -> D
     tx = F.col("b.x") - ratio * (F.col("a.x") * F.cos(angle) - F.col("a.y") * F.sin(angle))
     votes = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.kp").alias("kp"), turn.alias("turn"), F.round(F.log2(ratio), 1).alias("ratio"), ty.alias("ty"), tx.alias("tx"))
     grid = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.floor((F.col("ty") + dy) / bin_px).alias("cy"), F.floor((F.col("tx") + dx) / bin_px).alias("cx")) for g, (dy, dx) in enumerate([(0, 0), (0, bin_px / 2), (bin_px / 2, 0), (bin_px / 2, bin_px / 2)])]))
-    cells = votes.select("u", "v", "kp", "turn", "ratio", grid.alias("c")).select("u", "v", "kp", "ratio", F.explode(F.array("turn", F.pmod(F.col("turn") + 1, F.lit(_TURNS)))).alias("turn"), "c.g", "c.cy", "c.cx")
+    # a pair without so many distinct corners can't agree in one cell: few pairs of unlike pictures are left to vote
+    votes = cut(votes)
+    enough = votes.select("u", "v", "kp").distinct().groupBy("u", "v").agg(F.count("*").alias("n")).where(F.col("n") >= inliers).select("u", "v")
+    cells = votes.join(enough, ["u", "v"]).select("u", "v", "kp", "turn", "ratio", grid.alias("c")).select("u", "v", "kp", "ratio", F.explode(F.array("turn", F.pmod(F.col("turn") + 1, F.lit(_TURNS)))).alias("turn"), "c.g", "c.cy", "c.cx")
     agreed = cells.distinct().groupBy("u", "v", "ratio", "turn", "g", "cy", "cx").agg(F.count("*").alias("n")).where(F.col("n") >= inliers)
     return agreed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
@@ -176,12 +168,12 @@ def image_copies(df: DataFrame, *, id_col: str = "image_id", image_col: str = "i
     Rows without a readable image, or without corners, are their own component with no links; null ids keep
     their row with a null component. Empty tables give no rows; other columns are ignored.
     """
-    keyed = df.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image")).mapInArrow(_digests, "id long, node long, image binary")
-    sets = cut(keyed.select("id", "node"))
+    seen = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image")).mapInArrow(_described, _DESCRIBED))
+    sets = seen.select("id", "node")
     heads = cut(sets.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("head")))
-    # of equal images one is described
-    described = heads.select(F.col("node").alias("h_node"), "head")
-    one = keyed.join(described, (F.col("id") == F.col("head")) & (F.col("node") == F.col("h_node")), "left_semi").select("node", "image").dropDuplicates(["node"])
+    # of equal images the first one's corners are enough; rows of one id and image are equal
+    first = heads.select(F.col("node").alias("h_node"), "head")
+    one = seen.join(first, (F.col("id") == F.col("head")) & (F.col("node") == F.col("h_node")), "left_semi").select("node", "corners").dropDuplicates(["node"])
     links = cut(image_links(one, inliers=inliers))
     names = heads.select(F.col("node").alias("n"), "head")
     edges = links.join(names.withColumnsRenamed({"n": "u", "head": "a"}), "u").join(names.withColumnsRenamed({"n": "v", "head": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -193,14 +185,20 @@ def image_copies(df: DataFrame, *, id_col: str = "image_id", image_col: str = "i
 
 
 def draw(seed: int, size: int = 96) -> np.ndarray:
-    """A picture of overlapping rectangles, for tables that have no images of their own."""
+    """A picture of patches over a rough ground, for tables that have no images of their own."""
     rng = np.random.default_rng(seed)
-    a = np.full((size, size), rng.integers(60, 200), np.uint8)
-    for _ in range(26):
-        y, x = rng.integers(-8, size - 6, 2)
-        h, w = rng.integers(8, 34, 2)
-        a[max(0, y) : y + h, max(0, x) : x + w] = rng.integers(0, 256)
-    return a
+    ground = np.zeros((size, size))
+    for cells, weight in ((6, 60.0), (12, 45.0), (24, 35.0), (48, 25.0)):
+        grid = rng.normal(0, weight, (cells + 1, cells + 1))
+        at = np.linspace(0, cells - 1e-9, size)
+        i, f = at.astype(int), at - at.astype(int)
+        rows = grid[i] * (1 - f)[:, None] + grid[i + 1] * f[:, None]
+        ground += rows[:, i] * (1 - f) + rows[:, i + 1] * f
+    for _ in range(5):
+        y, x = rng.integers(0, size - 12, 2)
+        h, w = rng.integers(8, 26, 2)
+        ground[y : y + h, x : x + w] = ground[y : y + h, x : x + w] * 0.5 + rng.normal(0, 60)
+    return np.clip(np.rint(ground + 128), 0, 255).astype(np.uint8)
 
 
 def edit(a: np.ndarray, kind: int) -> np.ndarray:
@@ -221,11 +219,15 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for i in range(lo, min(len(ids), lo + 512)):
                 v = np.array(vectors[i].as_py() or [], np.float32)
-                seed = int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little")
-                out.append(encode_pgm(np.ascontiguousarray(edit(draw(seed), (ids[i] or 0) % 5))))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 512], pa.int64()), pa.array(out, pa.binary())], names=["image_id", "image"])
+                picture = draw(int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little"))
+                out += [encode_pgm(picture), encode_pgm(np.ascontiguousarray(edit(picture, (ids[i] or 0) % 4 + 1)))]
+            names = [None if i is None else 2 * i + k for i in ids[lo : lo + 512] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=["image_id", "image"])
 
 
 def drawn_images(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(image_id, image): a picture for each vector, equal for equal vectors but for the edit that the id chooses."""
+    """(image_id, image): for each vector a picture, under twice the id, and under the next number an edited copy of it.
+
+    Equal vectors have equal pictures; the id chooses the edit.
+    """
     return vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(_drawn, "image_id long, image binary")

@@ -58,8 +58,9 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pictures drawn from all vectors, edited by a rule on the id, and grouped by their local descriptors."""
-    return image_copies(drawn_images(_table(spark, sf_dir, "embeddings")), id_col="image_id").withColumnRenamed("image_id", "vec_id")
+    """Pictures drawn from all vectors and an edited copy of each, grouped by their local descriptors."""
+    found = image_copies(drawn_images(_table(spark, sf_dir, "embeddings")), id_col="image_id")
+    return found.select("image_id", F.expr("image_id div 2").alias("vec_id"), (F.col("image_id") % 2 == 1).alias("edited"), "component_id", "n_links")
 
 
 def op5_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
