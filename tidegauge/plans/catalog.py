@@ -376,7 +376,7 @@ def latest_price(spark, d):
 
 @query
 def latest_run_granger(spark, d):
-    runs = table(spark, d, "orders").select(F.concat(F.lit("run-"), F.year("o_orderdate")).alias("run_id"), F.col("o_orderkey").alias("test_id"), F.col("o_orderdate").alias("computed_at"), F.round(F.col("o_totalprice") / 1_000_000, 6).alias("p_value"), F.round(F.col("o_totalprice") / 500_000, 6).alias("p_value_adj"))
+    runs = table(spark, d, "orders").select(F.concat(F.lit("run-"), F.year("o_orderdate")).alias("run_id"), F.col("o_orderkey").alias("test_id"), F.col("o_orderdate").alias("computed_at"), ((F.col("o_orderkey") % 9973).cast("double") / 10_000).alias("p_value"), ((F.col("o_orderkey") % 997).cast("double") / 1000).alias("p_value_adj"))
     return repository.latest_run(runs)
 
 
@@ -469,7 +469,8 @@ def target_position(spark, d):
 
 @query
 def rebalance_deltas(spark, d):
-    return rounded(paper_fills(spark, d))
+    # prices and targets of few decimals make sums that end in a 5; a billionth keeps them off the edge of the rounding
+    return rounded(paper_fills(spark, d).withColumn("cash_flow", F.col("cash_flow") + 1e-9))
 
 
 @query
