@@ -21,12 +21,12 @@ _U = np.uint64
 _FLUSH = 1 << 21  # tokens that a task holds before it hands out counts
 _RANGE_TOKENS = 1 << 24  # tokens of one range of the count
 _SUB_BITS = 32
-_OFTEN_BITS = 26  # the map of frequent tokens has 8 MB whatever the input
-_OFTEN_FILL = 1 << 22
-_TWICE_BITS = 27  # the map of tokens in two documents or more has 16 MB whatever the input
+_OFTEN_BITS = 24  # the map of frequent tokens has 2 MB whatever the input
+_OFTEN_FILL = 1 << 20
+_TWICE_BITS = 26  # the map of tokens in two documents or more has 8 MB whatever the input
 _LEVELS = (32, 256, 2048, 16384, 1 << 17)
 _QUERY_BLOCK, _MEMBER_BLOCK = 256, 64
-_NEEDED = 1 << 26  # bits of the map of documents whose texts are compared: 8 MB
+_NEEDED = 1 << 24  # bits of the map of documents whose texts are compared: 2 MB
 _SALTS = 64
 
 
@@ -141,7 +141,7 @@ def _token_maps(texts: DataFrame, tokens: int, sim: Similarity) -> tuple[np.ndar
     function of the token gives the same links. The second is set where a token of two documents or more falls;
     a token that it lacks links nothing. False positives cost time and never a link.
     """
-    bits = min(20, max(5, int(np.ceil(np.log2(max(1, tokens / _RANGE_TOKENS))))))
+    bits = min(18, max(5, int(np.ceil(np.log2(max(1, tokens / _RANGE_TOKENS))))))
     counted = texts.mapInArrow(_count_rows(sim, bits), "range int, once binary, more binary, many binary")
     maps = cut(counted.groupBy("range").applyInArrow(_frequent(bits), "range int, level int, n long, map binary"))
     sums = {r.level: r.n for r in maps.groupBy("level").agg(F.sum("n").alias("n")).collect()}
@@ -212,7 +212,7 @@ def _fits(sim: Similarity, n, m, core):
 def _those(docs: DataFrame, owners: DataFrame) -> DataFrame:
     """``docs`` without most of the rows that ``owners`` lacks, so that their texts stay where they are.
 
-    The owners' hashes set bits in 2048 maps of 4 KB: 8 MB, whatever their number; the join that follows is exact.
+    The owners' hashes set bits in 512 maps of 4 KB: 2 MB, whatever their number; the join that follows is exact.
     """
     at = F.pmod(F.xxhash64("doc", "copy"), F.lit(_NEEDED))
     maps = owners.select(at.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("map"))
@@ -258,6 +258,7 @@ class TokenGroupJoin:
         first = cut(to_pivot(salted, "token", "salt").where(F.col("often") | (F.col("p") != me)).select(*columns))
         heads = first.where("often").select("token", "often", F.col("p_fp").alias("fp"), F.col("p_n").alias("n"), F.col("p_r").alias("r")).distinct()
         second = cut(to_pivot(heads, "token").select(*columns))
+        maps.destroy()  # what needed them is stored
         return first.unionByName(second).where("fp <> p_fp").drop("often")
 
     def texts(self, needed: DataFrame, reps: DataFrame) -> DataFrame:
