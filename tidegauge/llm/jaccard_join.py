@@ -318,9 +318,9 @@ def _openings(members: DataFrame, groups: DataFrame, sim: Similarity) -> tuple[D
     """The token-group matrix: (opened, inside), the sets ``fp`` that open a group, and the groups' members.
 
     ``groups(node, root)`` are the groups of sets already linked; a set without a row is its own group. A group's
-    column is the union of its members' first tokens, with the sizes and the rests that stand behind each token.
-    A query set meets a group only at a token that leaves both enough, and opens it if its overlap with the whole
-    union allows the threshold at some size between the group's least and largest.
+    column is the union of its members' first tokens, with the sizes and the rests that stand behind each token: what
+    follows a token in the set and in some member bounds their overlap from there on. A query set opens a group only
+    if some token leaves room for the threshold at a size between the least and the largest member there.
     """
     grouped = members.join(groups, members.fp == groups.node, "left").select("token", "fp", F.col("n").cast("long").alias("n"), F.col("r").cast("long").alias("r"), F.coalesce("root", "fp").alias("g"))
     open_tokens = grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token")
@@ -330,12 +330,7 @@ def _openings(members: DataFrame, groups: DataFrame, sim: Similarity) -> tuple[D
     lo, hi = F.ceil(n * sim.num / sim.den), F.floor(n * sim.den / sim.num)
     least = F.greatest(F.col("t_lo"), lo)
     meets = (F.col("g") > F.col("other")) & (least <= F.least(F.col("t_hi"), hi)) & (F.least("r", "t_r") * (sim.num + sim.den) >= (n + least) * sim.num)
-    met = cut(grouped.join(union, "token").where(meets).select("fp", "n", "other").distinct())
-    columns = union.select("token", F.col("other").alias("u_other"), "t_lo", "t_hi")
-    both = met.join(grouped.select(F.col("fp").alias("q"), "token"), F.col("fp") == F.col("q")).join(columns, ["token"]).where("other = u_other")
-    shared = both.groupBy("fp", "n", "other").agg(F.count("*").alias("shared"))
-    bound = union.groupBy("other").agg(F.min("t_lo").alias("g_lo"), F.max("t_hi").alias("g_hi"))
-    opened = shared.join(bound, "other").where(_allowed(sim, "shared", n, F.greatest("g_lo", lo), F.least("g_hi", hi))).select("fp", "other")
+    opened = grouped.join(union, "token").where(meets).select("fp", "other").distinct()
     return cut(opened), grouped.select(F.col("g").alias("other"), F.col("fp").alias("s")).distinct()
 
 
