@@ -91,15 +91,17 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, *, bits: int, levels
     theta = np.log(below / (1 - below))
     if not len(rows) or len(np.unique(grades)) < 2:
         return OrdinalModel(bits, weights, theta)
-    flat = np.concatenate(rows)
-    df = np.bincount(flat, minlength=1 << bits)
-    each = np.repeat(grades.astype(np.int8), [len(r) for r in rows])
-    strength = np.zeros(1 << bits)
+    # counts of each feature at and above each grade, some rows at a time: the driver holds the rows once
+    df = np.zeros((levels, 1 << bits), np.int32)
+    for lo in range(0, len(rows), 1000):
+        flat = np.concatenate(rows[lo : lo + 1000])
+        each = np.repeat(grades[lo : lo + 1000], [len(r) for r in rows[lo : lo + 1000]])
+        for k in range(levels):
+            df[k] += np.bincount(flat[each >= k] if k else flat, minlength=1 << bits).astype(np.int32)
+    strength = np.zeros(1 << bits, np.float32)
     for k in range(1, levels):
         p = min(max((grades >= k).mean(), 1e-6), 1 - 1e-6)
-        seen = np.bincount(flat[each >= k], minlength=1 << bits)
-        strength = np.maximum(strength, np.abs(seen - p * df) / np.sqrt(np.maximum(df, 1) * p * (1 - p)))
-    del flat, each
+        strength = np.maximum(strength, np.abs(df[k] - p * df[0]) / np.sqrt(np.maximum(df[0], 1) * p * (1 - p)))
     names = np.flatnonzero(strength >= screen)
     column = np.full(1 << bits, -1, np.int32)
     column[names] = np.arange(len(names))
