@@ -107,8 +107,10 @@ def corners(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(tests)
 
 
-_CORNER = "struct<kp:int,codes:array<bigint>,y:double,x:double,scale:double,turn:int>"
-_DESCRIBED = f"id long, node long, corners array<{_CORNER}>"
+_CORNER = np.dtype([("codes", "<u4", (_TABLES,)), ("y", "<u4"), ("x", "<u4"), ("scale", "u1"), ("turn", "u1")])
+_DESCRIBED = "id long, node long, corners binary"
+#: A corner's place in one number: which it is, its scale, its turn, and y and x in quarters of a pixel.
+_KP, _SCALE, _TURN, _Y = 43, 41, 36, 18
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,20 +118,33 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            node, sizes, places, codes = [], [], [], []
+            node, packed = [], []
             for raw in part.column(1):
                 pixels = decode_pgm(raw.as_py())
                 place, tests = corners(pixels) if pixels is not None else (np.empty((0, 4)), np.empty((0, _TESTS), bool))
                 node.append(None if pixels is None else int.from_bytes(hashlib.blake2b(repr(pixels.shape).encode() + pixels.tobytes(), digest_size=8).digest(), "little", signed=True))
-                sizes.append(len(place))
-                places.append(place)
-                codes.append(tests[:, _BITS] @ weights)
-            place, code = np.concatenate(places), np.concatenate(codes)
-            kp = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-            table = pa.ListArray.from_arrays(pa.array(np.arange(len(code) + 1) * _TABLES, pa.int32()), pa.array(code.ravel()))
-            one = pa.StructArray.from_arrays([pa.array(kp), table, *[pa.array(place[:, k].copy()) for k in range(3)], pa.array(place[:, 3].astype(np.int32))], names=["kp", "codes", "y", "x", "scale", "turn"])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), one)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.int64()), lists], names=["id", "node", "corners"])
+                r = np.zeros(len(place), _CORNER)
+                r["codes"] = tests[:, _BITS] @ weights
+                for name, k in (("y", 0), ("x", 1)):
+                    r[name] = np.clip(np.rint(place[:, k] * 4), 0, (1 << _Y) - 1)
+                r["scale"] = np.searchsorted(_SCALES, place[:, 2])
+                r["turn"] = place[:, 3]
+                packed.append(r.tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.int64()), pa.array(packed, pa.binary())], names=["id", "node", "corners"])
+
+
+def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            part = batch.slice(lo, 2048)
+            raw = part.column(1).to_pylist()
+            sizes = [len(x) // _CORNER.itemsize for x in raw]
+            r = np.frombuffer(b"".join(raw), _CORNER)
+            kp = np.concatenate([np.arange(n, dtype=np.int64) for n in sizes])
+            place = (kp << _KP) | (r["scale"].astype(np.int64) << _SCALE) | (r["turn"].astype(np.int64) << _TURN) | (r["y"].astype(np.int64) << _Y) | r["x"].astype(np.int64)
+            key = (np.arange(_TABLES, dtype=np.int64) << 32)[None, :] | r["codes"].astype(np.int64)
+            node = np.repeat(part.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(node, _TABLES)), pa.array(np.repeat(place, _TABLES))], names=["key", "node", "place"])
 
 
 def image_links(described: DataFrame, *, inliers: int = 6, bin_px: float = 8.0) -> DataFrame:
@@ -140,12 +155,18 @@ def image_links(described: DataFrame, *, inliers: int = 6, bin_px: float = 8.0)
     copies it holds; the links of a group of copies form one component. Each hit votes for the scale, turn and shift
     that take one image to the other, in two overlapping grids; ``inliers`` distinct corners in one cell make a link.
     """
-    each = described.select("node", F.explode("corners").alias("c"))
-    rows = each.select("node", F.posexplode("c.codes").alias("tab", "code"), "c.kp", "c.y", "c.x", "c.scale", "c.turn")
-    me = F.struct("node", "kp", "y", "x", "scale", "turn")
-    w = Window.partitionBy("tab", "code").orderBy("node", "kp")
-    hits = rows.select("tab", "code", me.alias("a"), F.first(me).over(w).alias("b"), F.lag(me).over(w).alias("c"))
-    pairs = hits.select("tab", "a", F.explode(F.array_distinct(F.array("b", "c"))).alias("b")).where("b is not null and a.node <> b.node")
+    rows = described.select("node", "corners").mapInArrow(_table_rows, "key long, node long, place long")
+    me = F.struct("node", "place")
+    w = Window.partitionBy("key").orderBy("node", "place")
+    hits = rows.select(me.alias("a"), F.first(me).over(w).alias("b"), F.lag(me).over(w).alias("c"))
+    met = hits.select("a", F.explode(F.array_distinct(F.array("b", "c"))).alias("b")).where("b is not null and a.node <> b.node")
+
+    def corner(c: str):
+        bits = lambda at, n: F.shiftright(F.col(f"{c}.place"), at).bitwiseAND((1 << n) - 1)
+        scale = F.element_at(F.array(*map(F.lit, _SCALES)), (bits(_SCALE, 2) + 1).cast("int"))
+        return F.struct(F.col(f"{c}.node").alias("node"), F.shiftright(F.col(f"{c}.place"), _KP).alias("kp"), (bits(_Y, 18) / 4.0).alias("y"), (bits(0, 18) / 4.0).alias("x"), scale.alias("scale"), bits(_TURN, 5).alias("turn")).alias(c)
+
+    pairs = met.select(corner("a"), corner("b"))
     turn = F.pmod(F.col("b.turn") - F.col("a.turn"), F.lit(_TURNS))
     angle = turn * (2 * np.pi / _TURNS)
     ratio = F.col("b.scale") / F.col("a.scale")
