@@ -38,7 +38,7 @@ def test_asof_against_scan(spark, direction, tolerance):
 def test_grids_do_not_bridge_gaps(spark):
     price = spark.createDataFrame([("m", hours(0), 0.3), ("m", hours(1), 0.31), ("m", hours(10), 0.5)], "market_id string, ts timestamp_ntz, price double")
     signal = spark.createDataFrame([("m", hours(h), 0.1) for h in range(11)], "market_id string, ts timestamp_ntz, signal double")
-    base = int(T0.timestamp() // 3600) if False else (T0 - dt.datetime(1970, 1, 1)).days * 24
+    base = (T0 - dt.datetime(1970, 1, 1)).days * 24
     union = temporal.align_union_span(price, signal, by=["market_id"]).collect()
     assert sorted(r.bar - base for r in union) == [0, 1, 2, 10]
     assert len(temporal.align_each_span(price, signal, by=["market_id"]).collect()) <= 4

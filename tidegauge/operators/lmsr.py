@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import B_FALLBACK, RESPONSIVENESS, affine_probability, clamp_probability, lmsr_b_from_depth, logit, mid, sigmoid
+from ..functions.expr import B_FALLBACK, RESPONSIVENESS, affine_probability, lmsr_b_from_depth, logit, mid, sigmoid
 from .temporal import asof_join
 
 GRID = (0.1, 0.2, 0.35, 0.5, 0.75, 1.0)
@@ -133,6 +133,3 @@ def backtest_summary(windows: DataFrame, *, key: str = "market_id") -> DataFrame
     )
     return out.withColumns({"b_unstable": F.col("b_cv") > 0.5, "no_skill": 2 * F.col("beating_baseline") <= F.col("n_windows")})
 
-
-def anchored_clamp(p: Column) -> Column:
-    return clamp_probability(p)

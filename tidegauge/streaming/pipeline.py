@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as T
 from ..operators import repository
-from ..operators.posts import DUPLICATE_THRESHOLD, WINDOW
+from ..operators.posts import DUPLICATE_THRESHOLD
+from ..operators.posts import WINDOW as CAPACITY
 from ..sources import sinks
 
 _OUT = "market_id string, post_id string, original_id string, similarity double"
@@ -25,7 +26,7 @@ def signed(posts: DataFrame) -> DataFrame:
 class DuplicateWindow(StatefulProcessor):
     """Per market the last ``capacity`` signatures in order of arrival, and which of them each bucket holds."""
 
-    def __init__(self, threshold: float = DUPLICATE_THRESHOLD, capacity: int = WINDOW):
+    def __init__(self, threshold: float = DUPLICATE_THRESHOLD, capacity: int = CAPACITY):
         self.threshold, self.capacity = threshold, capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -75,7 +76,7 @@ class DuplicateWindow(StatefulProcessor):
         pass
 
 
-def near_duplicates(posts: DataFrame, *, threshold: float = DUPLICATE_THRESHOLD, capacity: int = WINDOW) -> DataFrame:
+def near_duplicates(posts: DataFrame, *, threshold: float = DUPLICATE_THRESHOLD, capacity: int = CAPACITY) -> DataFrame:
     """The stream twin of the batch operator: (market_id, post_id, original_id, similarity) of each duplicate.
 
     Equal to the batch for posts that arrive in order; within a micro-batch they are put in order.
@@ -116,11 +117,9 @@ def subscribe(messages: DataFrame, pattern: str) -> DataFrame:
 
 
 def distinct_until_changed(rows: DataFrame, *, by: str = "market_id", on: str = "ts") -> DataFrame:
-    """A poll's rows without those whose time is that of the row before."""
-    from pyspark.sql import Window
-
+    """Polled rows (numbered by ``poll``) without those whose time is that of the row before."""
     w = Window.partitionBy(by).orderBy("poll")
-    return rows.where("true").withColumn("_last", F.lag(on).over(w)).where(~F.col(on).eqNullSafe(F.col("_last"))).drop("_last")
+    return rows.withColumn("_last", F.lag(on).over(w)).where(~F.col(on).eqNullSafe(F.col("_last"))).drop("_last")
 
 
 def parquet_stream(spark: SparkSession, path: str, schema: str, *, files: int = 1) -> DataFrame:
