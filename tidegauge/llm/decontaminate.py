@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import blocks, byte_class, text_buffer, word_hashes, word_spans
-from .runtime import cut
+from .runtime import cut, tidy
 
 #: Words of items and documents: runs of ASCII letters and digits and of bytes from 0x80.
 WORD_BYTES = byte_class(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -59,7 +59,7 @@ def _index_rows(vocabulary: np.ndarray | None):
                 packed = [ids[lo:hi].astype(np.int64), n_words.astype(np.int64), h[cuts - 1] if len(h) else h, cuts.astype(np.int64), pos.astype(np.int64 if len(pos) and pos[-1] > 2**31 else np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names=["doc", "n_words", "terms", "ends", "positions"])
 
-    return rows
+    return tidy(rows)
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -176,7 +176,7 @@ def _hits(windows):
                 missing = b.doc == np.iinfo(np.int64).min
                 yield pa.RecordBatch.from_arrays([pa.array(b.doc, mask=missing), pa.array(b.n_words), pa.array(n_hit.astype(np.int64)), pa.array(found, pa.list_(pa.int64()))], names=["doc", "n_words", "n_hit", "items"])
 
-    return rows
+    return tidy(rows)
 
 
 def _broadcast_items(items: DataFrame, item_col: str, text_col: str, chunk_words: int) -> Iterator[tuple[np.ndarray, list[tuple[int, np.ndarray]]]]:
@@ -249,7 +249,7 @@ def _hit_positions(windows):
                 columns = [pa.array([row["block"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(b.doc, mask=missing), pa.array(b.n_words), pa.array([sorted(x) for x in hit], pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "nth", "doc", "n_words", "hit", "items"])
 
-    return rows
+    return tidy(rows)
 
 
 def _near(words, span: int):
@@ -283,7 +283,7 @@ def _near(words, span: int):
             missing = np.array(docs, np.int64) == np.iinfo(np.int64).min
             yield pa.RecordBatch.from_arrays([pa.array(np.array(docs, np.int64), mask=missing), pa.array(items, pa.int64()), pa.array(at, pa.int64())], names=["doc", "item", "position"])
 
-    return rows
+    return tidy(rows)
 
 
 def proximity_matches(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 50, chunk_words: int = 4_000_000) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import byte_class, shingle_sets
 from .components import connected_components
-from .runtime import cut, shuffle_partitions
+from .runtime import cut, shuffle_partitions, tidy
 
 #: Words: runs of bytes other than space and the five ASCII controls from tab to carriage return.
 WORD_BYTES = byte_class(b" \t\n\x0b\x0c\r")
@@ -59,7 +59,7 @@ def _set_rows(sim: Similarity):
                 fp.append(_fingerprint(s))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64()), pa.array(n, pa.int64())], names=["doc", "copy", "fp", "n"])
 
-    return rows
+    return tidy(rows)
 
 
 def _pack(sorted_tokens: np.ndarray) -> bytes:
@@ -101,7 +101,7 @@ def _count_rows(sim: Similarity, bits: int):
         if n:
             yield flush(held)
 
-    return rows
+    return tidy(rows)
 
 
 def _map_slice(sub: np.ndarray, width: int) -> bytes:
@@ -189,7 +189,7 @@ def _probe_rows(sim: Similarity, maps):
                     own = slice(lo, lo + len(t))
                     yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(_is_set(t, frequent)), pa.array(fp[own]), pa.array(n[own].astype(np.int32)), pa.array(r[own].astype(np.int32))], names=["token", "often", "fp", "n", "r"])
 
-    return rows
+    return tidy(rows)
 
 
 def _verified(sim: Similarity):
@@ -201,7 +201,7 @@ def _verified(sim: Similarity):
             ]
             yield batch.select([0, 1]).filter(pa.array(links, pa.bool_()))
 
-    return rows
+    return tidy(rows)
 
 
 def _fits(sim: Similarity, n, m, core):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import blocks, text_buffer
-from .runtime import cut, shuffle_partitions
+from .runtime import cut, shuffle_partitions, tidy
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _KEY = ["h1", "h2"]
@@ -39,7 +39,7 @@ def _line_rows(min_chars: int):
                     own = ids.take(pa.array(at, pa.int32()))
                     yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), own.column(0), own.column(1), pa.array(pos, pa.int32())], names=["h1", "h2", "doc", "copy", "pos"])
 
-    return rows
+    return tidy(rows)
 
 
 def _dropped(min_docs: int, keep: str, spanning):
@@ -104,7 +104,7 @@ def _dropped(min_docs: int, keep: str, spanning):
         if waiting is not None:
             yield from decide(waiting, known, True).to_batches()
 
-    return stream
+    return tidy(stream)
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def _applied(with_text: bool):
             last = pa.array(out, pa.binary()).cast(pa.string()) if with_text else pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), last], names=["row", "n_lines", "n_dropped", "kept"])
 
-    return apply
+    return tidy(apply)
 
 
 def apply_keep_bitmaps(df: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", output: str = "sha256") -> DataFrame:

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bytetext import blocks, text_buffer
-from .runtime import cut
+from .runtime import cut, tidy
 
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
 _CACHE_BYTES = 48
 #: Bytes as the letters that byte-level vocabularies write them with: printable ones as they are, the others from 256 on.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -122,7 +122,7 @@ def _piece_rows(definition, capacity: int, end_id: int, with_ids: bool):
                 columns += [pa.array(ids, pa.binary())] if with_ids else []
                 yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
-    return rows
+    return tidy(rows)
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -221,7 +221,7 @@ def _place(plan, capacity: int):
             out = batch.drop_columns(["rank"])
             yield out.append_column("sequence_id", pa.array(r[:, 2] + d // r[:, 4])).append_column("offset", pa.array(r[:, 3] + d % r[:, 4] * length))
 
-    return rows
+    return tidy(rows)
 
 
 def pack(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import blocks, byte_class, mix, text_buffer, word_hashes, word_spans
+from .runtime import tidy
 
 _U = np.uint64
 _WORD = byte_class(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -139,7 +140,7 @@ def _sample_rows(bits: int):
             found = [f.tobytes() for f in features(*text_buffer(batch.column(1)), bits)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["grade", "features"])
 
-    return rows
+    return tidy(rows)
 
 
 def fit_quality(docs: DataFrame, ratings: DataFrame, *, levels: int, id_col: str = "doc_id", text_col: str = "text", rating_col: str = "grade", sample: int = 16_000, bits: int = 20) -> OrdinalModel:
@@ -165,7 +166,7 @@ def _score_rows(model):
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1) * tails.shape[1], pa.int32()), pa.array(tails.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), flat], names=["doc", "expected_grade", "tails"])
 
-    return rows
+    return tidy(rows)
 
 
 def _kept_rows(model, tail: int, least: float, at: int):
@@ -177,7 +178,7 @@ def _kept_rows(model, tail: int, least: float, at: int):
                 scores = np.array([m.weights[f].sum(dtype=np.float64) if len(f) else -np.inf for f in features(*text_buffer(part.column(at)), m.bits)])
                 yield part.filter(pa.array(m.tails(scores)[:, tail - 1] >= least))
 
-    return rows
+    return tidy(rows)
 
 
 def select_documents(df: DataFrame, model: OrdinalModel, *, tail: int, least: float = 0.5, text_col: str = "text") -> DataFrame:
