@@ -172,8 +172,9 @@ def image_links(described: DataFrame, *, inliers: int = 6, bin_px: float = 8.0)
     ratio = F.col("b.scale") / F.col("a.scale")
     ty = F.col("b.y") - ratio * (F.col("a.x") * F.sin(angle) + F.col("a.y") * F.cos(angle))
     tx = F.col("b.x") - ratio * (F.col("a.x") * F.cos(angle) - F.col("a.y") * F.sin(angle))
-    votes = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.kp").alias("kp"), turn.alias("turn"), F.round(F.log2(ratio), 1).alias("ratio"), ty.alias("ty"), tx.alias("tx"))
-    grid = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.floor((F.col("ty") + dy) / bin_px).alias("cy"), F.floor((F.col("tx") + dx) / bin_px).alias("cx")) for g, (dy, dx) in enumerate([(0, 0), (0, bin_px / 2), (bin_px / 2, 0), (bin_px / 2, bin_px / 2)])]))
+    # two corners that meet in several tables vote once
+    votes = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.kp").alias("kp"), turn.cast("int").alias("turn"), F.round(F.log2(ratio), 1).cast("float").alias("ratio"), F.round(ty, 1).cast("float").alias("ty"), F.round(tx, 1).cast("float").alias("tx")).distinct()
+    grid = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.floor((F.col("ty") + dy) / bin_px).alias("cy"), F.floor((F.col("tx") + dx) / bin_px).alias("cx")) for g, (dy, dx) in enumerate([(0, 0), (bin_px / 2, bin_px / 2)])]))
     # a pair without so many distinct corners can't agree in one cell: few pairs of unlike pictures are left to vote
     votes = cut(votes)
     enough = votes.select("u", "v", "kp").distinct().groupBy("u", "v").agg(F.count("*").alias("n")).where(F.col("n") >= inliers).select("u", "v")
@@ -192,9 +193,8 @@ def image_copies(df: DataFrame, *, id_col: str = "image_id", image_col: str = "i
     seen = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image")).mapInArrow(_described, _DESCRIBED))
     sets = seen.select("id", "node")
     heads = cut(sets.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("head")))
-    # of equal images the first one's corners are enough; rows of one id and image are equal
-    first = heads.select(F.col("node").alias("h_node"), "head")
-    one = seen.join(first, (F.col("id") == F.col("head")) & (F.col("node") == F.col("h_node")), "left_semi").select("node", "corners").dropDuplicates(["node"])
+    # equal images have equal corners: one of them is enough
+    one = seen.where("node is not null and id is not null").groupBy("node").agg(F.first("corners").alias("corners"))
     links = cut(image_links(one, inliers=inliers))
     names = heads.select(F.col("node").alias("n"), "head")
     edges = links.join(names.withColumnsRenamed({"n": "u", "head": "a"}), "u").join(names.withColumnsRenamed({"n": "v", "head": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
