@@ -25,7 +25,7 @@ _OFTEN_BITS = 24  # the map of frequent tokens has 2 MB whatever the input
 _OFTEN_FILL = 1 << 20
 _TWICE_BITS = 26  # the map of tokens in two documents or more has 8 MB whatever the input
 _LEVELS = (32, 256, 2048, 16384, 1 << 17)
-_QUERY_BLOCK, _MEMBER_BLOCK = 256, 64
+_QUERY_BLOCK, _MEMBER_BLOCK = 128, 256
 _NEEDED = 1 << 24  # bits of the map of documents whose texts are compared: 2 MB
 _SALTS = 64
 
