@@ -118,6 +118,24 @@ def test_line_dedup_keeps_first_and_columns(spark):
     assert by[None].n_lines == 1
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_line_dedup_runs_over_batches_and_partitions(spark, keep):
+    """A key below min_docs that spans partitions and Arrow batches keeps all its lines; one at min_docs loses them."""
+    texts = ["once\n" + "rare line\n" * 400 + "frequent line", *["rare line\n" * 30 + f"own {i}\nfrequent line" for i in range(2)], *["frequent line\n" * 40 for _ in range(3)]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        got = {r.doc_id: r.n_dropped for r in apply_keep_bitmaps(df, line_keep_bitmaps(df, min_docs=4, keep=keep)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = {i: t.split("\n").count("frequent line") for i, t in enumerate(texts)}
+    want[0] -= keep == "first"
+    assert got == want
+
+
 def test_line_dedup_empty(docs):
     assert apply_keep_bitmaps(docs.limit(0), line_keep_bitmaps(docs.limit(0))).count() == 0
 

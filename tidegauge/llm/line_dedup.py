@@ -54,7 +54,7 @@ def _dropped(min_docs: int, keep: str, spanning):
         return new
 
     def decide(t: pa.Table, known: tuple | None, known_first: bool) -> pa.Table:
-        """known: the key of a run already found frequent, whose first line has passed if known_first."""
+        """known: the key of a run already decided, whose first line has passed if known_first; frequent unless spanning says how many documents it has."""
         h = np.column_stack([t.column(c).to_numpy() for c in _KEY])
         new = run_starts(h)
         run = np.cumsum(new) - 1
@@ -71,8 +71,9 @@ def _dropped(min_docs: int, keep: str, spanning):
             if key in spanning.value:
                 docs[k], first_part = spanning.value[key]
                 first_here[k] = first_part == part
-            if key == known:
+            elif key == known:
                 docs[k] = max(docs[k], min_docs)
+            if key == known:
                 first_here[k] &= not known_first
         drop = (docs >= min_docs)[run]
         if keep == "first":
