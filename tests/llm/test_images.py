@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tidegauge.llm.image_copies import corners, decode_pgm, draw, edit, encode_pgm, image_copies
+from tidegauge.llm.image_copies import _CORNER, corners, decode_pgm, draw, edit, encode_pgm, image_copies, image_links
 
 
 def truth_rows(n: int = 40):
@@ -68,6 +68,33 @@ def test_against_all_pairs(spark):
     assert {r.image_id: r.component_id for r in image_copies(df).collect()} == {i: find(i) for i in found}
 
 
+def bucket_rows(n_between: int):
+    """Two copies and, between them in the order of nodes, images whose corners have one of their codes each, with other tests."""
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 2**32, (8, 4), dtype=np.uint32)
+    place = rng.integers(40, 300, (8, 2))
+    rows = []
+    for node in range(n_between + 3):
+        r = np.zeros(8, _CORNER)
+        r["codes"], r["y"], r["x"] = codes, place[:, 0], place[:, 1]
+        if node not in (1, n_between + 2):
+            r["codes"] = np.where(np.arange(4) == node % 4, codes, rng.integers(0, 2**32, (8, 4), dtype=np.uint32))
+        rows.append((node, r.tobytes()))
+    return rows
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 10}])
+def test_copies_with_unlike_images_between_them_in_every_bucket(spark, options):
+    df = spark.createDataFrame(bucket_rows(400), "node long, corners binary").repartition(3)
+    assert [tuple(x) for x in image_links(df, **options).collect()] == [(402, 1)]
+
+
+def test_links_of_a_group_of_copies_are_all_pairs(spark):
+    noisy = [np.clip(draw(1) + np.random.default_rng(k).normal(0, 2, (96, 96)), 0, 255) for k in range(9)]
+    df = spark.createDataFrame([(k, encode_pgm(x)) for k, x in enumerate(noisy)], "image_id long, image binary")
+    assert {(r.component_id, r.n_links) for r in image_copies(df).collect()} == {(0, 8)}
+
+
 @pytest.mark.parametrize("raw", [None, b"", b"P6 1 1 255\nxxx", b"P5 2 2 255\nabc", b"P5 0 0 255\n", b"P5 2 2 65535\nabcd"])
 def test_unreadable(raw):
     assert decode_pgm(raw) is None

@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import cut
+from .runtime import cut, shuffle_partitions, tidy
 
 _RADIUS = 9  # of the patch that gives a corner its direction and its tests
 _TESTS = 256
@@ -142,41 +142,167 @@ def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = np.frombuffer(b"".join(raw), _CORNER)
             kp = np.concatenate([np.arange(n, dtype=np.int64) for n in sizes])
             place = (kp << _KP) | (r["scale"].astype(np.int64) << _SCALE) | (r["turn"].astype(np.int64) << _TURN) | (r["y"].astype(np.int64) << _Y) | r["x"].astype(np.int64)
-            key = (np.arange(_TABLES, dtype=np.int64) << 32)[None, :] | r["codes"].astype(np.int64)
+            codes = r["codes"].astype(np.int64)
+            key = (np.arange(_TABLES, dtype=np.int64) << 32)[None, :] | codes
             node = np.repeat(part.column(0).to_numpy(), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(node, _TABLES)), pa.array(np.repeat(place, _TABLES))], names=["key", "node", "place"])
-
-
-def image_links(described: DataFrame, *, inliers: int = 6, bin_px: float = 8.0) -> DataFrame:
+            # the codes of the other tables, in the order of the tables
+            others = np.array([[k for k in range(_TABLES) if k != t] for t in range(_TABLES)])
+            rest = r["codes"][:, others].reshape(-1, _TABLES - 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.ravel()), pa.array(np.repeat(node, _TABLES)), pa.array(np.repeat(place, _TABLES)), *[pa.array(np.ascontiguousarray(rest[:, k]).view(np.int32)) for k in range(_TABLES - 1)]],
+                names=["key", "node", "place", "r0", "r1", "r2"],
+            )
+
+
+#: One row of a table's bucket.
+_ENTRY = np.dtype([("node", "<i8"), ("place", "<i8"), ("rest", "<u4", (_TABLES - 1,))])
+_TILE = 64
+_VOTE = "u long, v long, kp long, turn int, ratio float, ty float, tx float"
+_MET = f"{_VOTE}, key long, block int, entries binary"
+
+
+def _near(table: np.ndarray | int, x: list[np.ndarray], y: list[np.ndarray], far: int) -> np.ndarray:
+    """Whether corners of one bucket differ in at most ``far`` tests of all tables; true in the first table they share alone."""
+    differ, again = None, False
+    for k in range(_TABLES - 1):
+        d = x[k] ^ y[k]
+        again = again | ((d == 0) & (table > k))
+        n = np.bitwise_count(d)
+        differ = n if differ is None else differ + n
+    return (differ <= far) & ~again
+
+
+def _votes(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+    """The similarity transform by which each corner i goes to corner j, for corners of unlike nodes; the greater node comes first."""
+    other = e["node"][i] != e["node"][j]
+    i, j = i[other], j[other]
+    swap = e["node"][i] < e["node"][j]
+    a, b = e[np.where(swap, j, i)], e[np.where(swap, i, j)]
+    bits = lambda p, at, n: (p["place"] >> at) & ((1 << n) - 1)
+    turn = (bits(b, _TURN, 5) - bits(a, _TURN, 5)) % _TURNS
+    angle = turn * (2 * np.pi / _TURNS)
+    scales = np.array([*_SCALES, 1.0])
+    ratio = scales[bits(b, _SCALE, 2)] / scales[bits(a, _SCALE, 2)]
+    y, x = bits(a, _Y, 18) / 4.0, bits(a, 0, 18) / 4.0
+    ty = bits(b, _Y, 18) / 4.0 - ratio * (x * np.sin(angle) + y * np.cos(angle))
+    tx = bits(b, 0, 18) / 4.0 - ratio * (x * np.cos(angle) - y * np.sin(angle))
+    return [a["node"], b["node"], a["place"] >> _KP, turn.astype(np.int32), np.round(np.log2(ratio), 1).astype(np.float32), np.round(ty, 1).astype(np.float32), np.round(tx, 1).astype(np.float32)]
+
+
+def _tiles(e: np.ndarray, table: int, rows: tuple[int, int], cols: tuple[int, int], far: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All near pairs of a range of rows with a range of columns; of a range with itself each pair once."""
+    rest = [np.ascontiguousarray(e["rest"][:, k]) for k in range(_TABLES - 1)]
+    for lo in range(*rows, _TILE):
+        hi = min(lo + _TILE, rows[1])
+        for c0 in range(lo if rows == cols else cols[0], cols[1], 8192):
+            c1 = min(c0 + 8192, cols[1])
+            i, j = np.nonzero(_near(table, [r[lo:hi, None] for r in rest], [r[None, c0:c1] for r in rest], far))
+            i, j = i + lo, j + c0
+            yield (i[i < j], j[i < j]) if rows == cols else (i, j)
+
+
+def _met(far: int, size: int):
+    """Streams buckets in the order of their keys: the votes of all their pairs, and for buckets of more than a block their blocks."""
+
+    def vote_rows(votes: list[np.ndarray]) -> pa.RecordBatch:
+        n = len(votes[0])
+        nothing = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+        return pa.RecordBatch.from_arrays([*map(pa.array, votes), *nothing], names=["u", "v", "kp", "turn", "ratio", "ty", "tx", "key", "block", "entries"])
+
+    def block_row(key: int, block: int, e: np.ndarray) -> pa.RecordBatch:
+        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.float32(), pa.float32())]
+        return pa.RecordBatch.from_arrays([*nothing, pa.array([key]), pa.array([block], pa.int32()), pa.array([e.tobytes()], pa.binary())], names=["u", "v", "kp", "turn", "ratio", "ty", "tx", "key", "block", "entries"])
+
+    def whole(key: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        ends = np.append(heads[1:], len(key))
+        sizes = ends - heads
+        rest = [np.ascontiguousarray(e["rest"][:, k]) for k in range(_TABLES - 1)]
+        table = key >> 32
+        # small buckets: rows that are d apart, of all of them at once
+        end = np.repeat(np.where(sizes <= _TILE, ends, 0), sizes)
+        i, d = np.arange(len(key)), 1
+        while len(i := i[i + d < end[i]]):
+            near = i[_near(table[i], [r[i] for r in rest], [r[i + d] for r in rest], far)]
+            if len(near):
+                yield vote_rows(_votes(e, near, near + d))
+            d += 1
+        for k in np.flatnonzero(sizes > _TILE).tolist():
+            own = e[heads[k] : ends[k]]
+            for i, j in _tiles(own, int(table[heads[k]]), (0, len(own)), (0, len(own)), far):
+                if len(i):
+                    yield vote_rows(_votes(own, i, j))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, e, hot, block = np.empty(0, np.int64), np.empty(0, _ENTRY), None, 0
+        for batch in batches:
+            new = np.empty(batch.num_rows, _ENTRY)
+            new["node"], new["place"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for k in range(_TABLES - 1):
+                new["rest"][:, k] = batch.column(3 + k).to_numpy().view(np.uint32)
+            key, e = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([e, new])
+            if not len(key):
+                continue
+            if hot is not None:  # the rest of a bucket that already has blocks
+                n = int(np.searchsorted(key, hot, "right"))
+                while n >= size or (n and n < len(key)):
+                    m = min(n, size)
+                    yield block_row(hot, block, e[:m])
+                    key, e, n, block = key[m:], e[m:], n - m, block + 1
+                if n < len(key):
+                    hot = None
+                else:
+                    continue
+            last = int(np.searchsorted(key, key[-1], "left"))
+            if last:
+                yield from whole(key[:last], e[:last])
+                key, e = key[last:], e[last:]
+            if len(key) > size:
+                hot, block = int(key[0]), 0
+                while len(key) >= size:
+                    yield block_row(hot, block, e[:size])
+                    key, e, block = key[size:], e[size:], block + 1
+        if len(key) and hot is not None:
+            yield block_row(hot, block, e)
+        elif len(key):
+            yield from whole(key, e)
+
+    return tidy(stream)
+
+
+def _met_blocks(far: int):
+    """The votes of the pairs of two blocks of a bucket, or of one block."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                a = np.frombuffer(x, _ENTRY)
+                e = a if y is None else np.concatenate([a, np.frombuffer(y, _ENTRY)])
+                for i, j in _tiles(e, key >> 32, (0, len(a)), (0, len(a)) if y is None else (len(a), len(e)), far):
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, _votes(e, i, j))], names=["u", "v", "kp", "turn", "ratio", "ty", "tx"])
+
+    return tidy(rows)
+
+
+def image_links(described: DataFrame, *, inliers: int = 6, bin_px: float = 8.0, far: int = 16, block: int = 16384) -> DataFrame:
     """Distinct (u, v): pairs of images ``described(node, corners)`` whose corners agree on one similarity transform.
 
-    Corners meet in ``_TABLES`` tables of 32 test bits each. In a table's bucket every image is compared with the
-    bucket's least image and with the one before it in order, so a bucket costs as many pairs as rows, however many
-    copies it holds; the links of a group of copies form one component. Each hit votes for the scale, turn and shift
-    that take one image to the other, in two overlapping grids; ``inliers`` distinct corners in one cell make a link.
+    Corners meet in ``_TABLES`` tables of 32 test bits each. All pairs of a table's bucket are compared, in blocks: two
+    corners match if they differ in at most ``far`` of the tables' tests together. Buckets of more than ``block`` rows
+    are dealt out as pairs of blocks. Each match votes for the scale, turn and shift that take one image to the other,
+    in two overlapping grids; ``inliers`` distinct corners in one cell make a link.
     """
-    rows = described.select("node", "corners").mapInArrow(_table_rows, "key long, node long, place long")
-    me = F.struct("node", "place")
-    w = Window.partitionBy("key").orderBy("node", "place")
-    hits = rows.select(me.alias("a"), F.first(me).over(w).alias("b"), F.lag(me).over(w).alias("c"))
-    met = hits.select("a", F.explode(F.array_distinct(F.array("b", "c"))).alias("b")).where("b is not null and a.node <> b.node")
-
-    def corner(c: str):
-        bits = lambda at, n: F.shiftright(F.col(f"{c}.place"), at).bitwiseAND((1 << n) - 1)
-        scale = F.element_at(F.array(*map(F.lit, _SCALES)), (bits(_SCALE, 2) + 1).cast("int"))
-        return F.struct(F.col(f"{c}.node").alias("node"), F.shiftright(F.col(f"{c}.place"), _KP).alias("kp"), (bits(_Y, 18) / 4.0).alias("y"), (bits(0, 18) / 4.0).alias("x"), scale.alias("scale"), bits(_TURN, 5).alias("turn")).alias(c)
-
-    pairs = met.select(corner("a"), corner("b"))
-    turn = F.pmod(F.col("b.turn") - F.col("a.turn"), F.lit(_TURNS))
-    angle = turn * (2 * np.pi / _TURNS)
-    ratio = F.col("b.scale") / F.col("a.scale")
-    ty = F.col("b.y") - ratio * (F.col("a.x") * F.sin(angle) + F.col("a.y") * F.cos(angle))
-    tx = F.col("b.x") - ratio * (F.col("a.x") * F.cos(angle) - F.col("a.y") * F.sin(angle))
-    # two corners that meet in several tables vote once
-    votes = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.kp").alias("kp"), turn.cast("int").alias("turn"), F.round(F.log2(ratio), 1).cast("float").alias("ratio"), F.round(ty, 1).cast("float").alias("ty"), F.round(tx, 1).cast("float").alias("tx")).distinct()
+    rows = described.select("node", "corners").mapInArrow(_table_rows, "key long, node long, place long, r0 int, r1 int, r2 int")
+    met = cut(rows.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_met(far, block), _MET))
+    votes = met.where("key is null").select("u", "v", "kp", "turn", "ratio", "ty", "tx")
+    if not (blocks := met.where("key is not null").select("key", "block", "entries")).isEmpty():
+        a, b = blocks.alias("a"), blocks.withColumnsRenamed({"key": "b_key", "block": "b_block", "entries": "b_entries"})
+        both = a.join(b, F.expr("key = b_key AND block >= b_block")).select("key", "entries", F.expr("CASE WHEN block > b_block THEN b_entries END").alias("other"))
+        jobs = both.repartition(shuffle_partitions(rows.sparkSession))
+        votes = votes.unionByName(cut(jobs.mapInArrow(_met_blocks(far), _VOTE)))
     grid = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.floor((F.col("ty") + dy) / bin_px).alias("cy"), F.floor((F.col("tx") + dx) / bin_px).alias("cx")) for g, (dy, dx) in enumerate([(0, 0), (bin_px / 2, bin_px / 2)])]))
     # a pair without so many distinct corners can't agree in one cell: few pairs of unlike pictures are left to vote
-    votes = cut(votes)
     enough = votes.select("u", "v", "kp").distinct().groupBy("u", "v").agg(F.count("*").alias("n")).where(F.col("n") >= inliers).select("u", "v")
     cells = votes.join(enough, ["u", "v"]).select("u", "v", "kp", "turn", "ratio", grid.alias("c")).select("u", "v", "kp", "ratio", F.explode(F.array("turn", F.pmod(F.col("turn") + 1, F.lit(_TURNS)))).alias("turn"), "c.g", "c.cy", "c.cx")
     agreed = cells.distinct().groupBy("u", "v", "ratio", "turn", "g", "cy", "cx").agg(F.count("*").alias("n")).where(F.col("n") >= inliers)
