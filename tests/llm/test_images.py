@@ -95,6 +95,17 @@ def test_links_of_a_group_of_copies_are_all_pairs(spark):
     assert {(r.component_id, r.n_links) for r in image_copies(df).collect()} == {(0, 8)}
 
 
+@pytest.mark.parametrize("large", [lambda g: draw(g, 480), lambda g: np.block([[draw(100 * g + 5 * r + c) for c in range(5)] for r in range(5)])])
+def test_small_crops_of_large_images(spark, large):
+    """A tenth and less of a picture's area is still linked to it, be it smooth or rough; unlike pictures aren't."""
+    rows = []
+    for g in range(6):
+        whole = large(g)
+        rows += [(10 * g, whole), (10 * g + 1, whole[30:170, 300:440]), (10 * g + 2, whole[300:440, 40:180])]
+    df = spark.createDataFrame([(i, encode_pgm(np.ascontiguousarray(a))) for i, a in rows], "image_id long, image binary")
+    assert {r.image_id: r.component_id for r in image_copies(df).collect()} == {i: i // 10 * 10 for i, _ in rows}
+
+
 @pytest.mark.parametrize("raw", [None, b"", b"P6 1 1 255\nxxx", b"P5 2 2 255\nabc", b"P5 0 0 255\n", b"P5 2 2 65535\nabcd"])
 def test_unreadable(raw):
     assert decode_pgm(raw) is None

@@ -21,7 +21,9 @@ _TESTS = 256
 _TURNS = 32
 _TABLES = 4
 _SCALES = (1.0, 1.5, 2.0)
-_KEEP = (28, 14, 8)
+#: A corner stays if fewer than _KEEP stronger ones lie within _NEAR pixels: what a picture keeps, a crop of it keeps too.
+_KEEP = (6, 8, 8)
+_NEAR = 24
 _MARGIN = _RADIUS + 2
 
 
@@ -75,6 +77,19 @@ def _shrunk(a: np.ndarray, scale: float) -> np.ndarray:
     return (at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy
 
 
+def _strongest(y: np.ndarray, x: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
+    """Whether fewer than ``keep`` stronger corners lie near each; y ascends. Equal scores: the earlier is stronger."""
+    out = np.ones(len(y), bool)
+    at = np.arange(len(y))
+    for lo in range(0, len(y), 256):
+        hi = min(lo + 256, len(y))
+        a, b = np.searchsorted(y, y[lo] - _NEAR, "left"), np.searchsorted(y, y[hi - 1] + _NEAR, "right")
+        near = (y[lo:hi, None] - y[None, a:b]) ** 2 + (x[lo:hi, None] - x[None, a:b]) ** 2 <= _NEAR * _NEAR
+        stronger = (score[None, a:b] > score[lo:hi, None]) | ((score[None, a:b] == score[lo:hi, None]) & (at[None, a:b] < at[lo:hi, None]))
+        out[lo:hi] = (near & stronger).sum(axis=1) < keep
+    return out
+
+
 def corners(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n, 4) of y, x (in the image), scale and turn; (n, 256) binary tests. Small or flat images have none."""
     places, tests = [], []
@@ -90,7 +105,7 @@ def corners(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         around = np.max([score[2 + k : score.shape[0] - 2 + k] for k in range(-2, 3)], axis=0)
         around = np.max([around[:, 2 + k : score.shape[1] - 2 + k] for k in range(-2, 3)], axis=0)[_MARGIN - 2 : -(_MARGIN - 2), _MARGIN - 2 : -(_MARGIN - 2)]
         y, x = np.nonzero((inner == around) & (inner > 50.0))
-        best = np.argsort(-inner[y, x], kind="stable")[:keep]
+        best = _strongest(y, x, inner[y, x], keep)
         y, x = y[best] + _MARGIN, x[best] + _MARGIN
         if not len(y):
             continue
@@ -291,7 +306,7 @@ def image_links(described: DataFrame, *, inliers: int = 6, bin_px: float = 8.0,
     Corners meet in ``_TABLES`` tables of 32 test bits each. All pairs of a table's bucket are compared, in blocks: two
     corners match if they differ in at most ``far`` of the tables' tests together. Buckets of more than ``block`` rows
     are dealt out as pairs of blocks. Each match votes for the scale, turn and shift that take one image to the other,
-    in two overlapping grids; ``inliers`` distinct corners in one cell make a link.
+    in two overlapping grids; ``inliers`` distinct corners in one cell make a link, more for pairs of thousands of votes.
     """
     rows = described.select("node", "corners").mapInArrow(_table_rows, "key long, node long, place long, r0 int, r1 int, r2 int")
     met = cut(rows.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_met(far, block), _MET))
@@ -303,9 +318,12 @@ def image_links(described: DataFrame, *, inliers: int = 6, bin_px: float = 8.0,
         votes = votes.unionByName(cut(jobs.mapInArrow(_met_blocks(far), _VOTE)))
     grid = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.floor((F.col("ty") + dy) / bin_px).alias("cy"), F.floor((F.col("tx") + dx) / bin_px).alias("cx")) for g, (dy, dx) in enumerate([(0, 0), (bin_px / 2, bin_px / 2)])]))
     # a pair without so many distinct corners can't agree in one cell: few pairs of unlike pictures are left to vote
-    enough = votes.select("u", "v", "kp").distinct().groupBy("u", "v").agg(F.count("*").alias("n")).where(F.col("n") >= inliers).select("u", "v")
-    cells = votes.join(enough, ["u", "v"]).select("u", "v", "kp", "turn", "ratio", grid.alias("c")).select("u", "v", "kp", "ratio", F.explode(F.array("turn", F.pmod(F.col("turn") + 1, F.lit(_TURNS)))).alias("turn"), "c.g", "c.cy", "c.cx")
-    agreed = cells.distinct().groupBy("u", "v", "ratio", "turn", "g", "cy", "cx").agg(F.count("*").alias("n")).where(F.col("n") >= inliers)
+    paired = votes.groupBy("u", "v", "kp").agg(F.count("*").alias("n")).groupBy("u", "v").agg(F.count("*").alias("n"), F.sum("n").alias("all"))
+    # large pictures cast many votes by chance: beyond a thousand a pair, each tenfold takes as many corners more
+    need = F.lit(inliers) * F.greatest(F.lit(1.0), 1 + F.log10(F.col("all") / 1000))
+    enough = paired.withColumn("need", need).where("n >= need").select("u", "v", "need")
+    cells = votes.join(enough, ["u", "v"]).select("u", "v", "need", "kp", "turn", "ratio", grid.alias("c")).select("u", "v", "need", "kp", "ratio", F.explode(F.array("turn", F.pmod(F.col("turn") + 1, F.lit(_TURNS)))).alias("turn"), "c.g", "c.cy", "c.cx")
+    agreed = cells.distinct().groupBy("u", "v", "need", "ratio", "turn", "g", "cy", "cx").agg(F.count("*").alias("n")).where("n >= need")
     return agreed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
