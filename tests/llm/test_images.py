@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tidegauge.llm.image_copies import _CORNER, corners, decode_pgm, draw, edit, encode_pgm, image_copies, image_links
+from tidegauge.llm.image_copies import _CORNER, corners, decode_pgm, draw, drawn_images, edit, encode_pgm, image_copies, image_links
 
 
 def truth_rows(n: int = 40):
@@ -106,6 +106,15 @@ def test_small_crops_of_large_images(spark, large):
     assert {r.image_id: r.component_id for r in image_copies(df).collect()} == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_drawn_images_are_of_both_kinds_and_all_edits(spark):
+    """Rough and flat pictures, and copies of another size and of a small part."""
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(60)], "vec_id long, embedding array<float>")
+    got = {r.image_id: decode_pgm(bytes(r.image)) for r in drawn_images(df).collect()}
+    flat = [np.mean(np.diff(got[2 * i].astype(int), axis=1) == 0) > 0.5 for i in range(60)]
+    assert 10 < sum(flat) < 50
+    assert {got[2 * i + 1].shape for i in range(60)} == {(96, 96), (80, 78), (64, 64), (56, 56)}
+
+
 @pytest.mark.parametrize("raw", [None, b"", b"P6 1 1 255\nxxx", b"P5 2 2 255\nabc", b"P5 0 0 255\n", b"P5 2 2 65535\nabcd"])
 def test_unreadable(raw):
     assert decode_pgm(raw) is None

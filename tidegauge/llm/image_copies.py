@@ -366,8 +366,27 @@ def draw(seed: int, size: int = 96) -> np.ndarray:
     return np.clip(np.rint(ground + 128), 0, 255).astype(np.uint8)
 
 
+def draw_rectangles(seed: int, size: int = 96) -> np.ndarray:
+    """A picture of overlapping rectangles: flat, with corners that many unlike pictures share."""
+    rng = np.random.default_rng(seed)
+    a = np.full((size, size), rng.integers(60, 200), np.uint8)
+    for _ in range(26):
+        y, x = rng.integers(-8, size - 6, 2)
+        h, w = rng.integers(8, 34, 2)
+        a[max(0, y) : y + h, max(0, x) : x + w] = rng.integers(0, 256)
+    return a
+
+
+#: Of drawn copies.
+EDITS = (1, 2, 3, 4, 5, 6)
+
+
 def edit(a: np.ndarray, kind: int) -> np.ndarray:
-    """0: as it is; 1: cropped; 2: darker and flatter; 3: noisy; 4: a quarter turned."""
+    """0: as it is; 1: cropped; 2: darker and flatter; 3: noisy; 4: a quarter turned; 5: two thirds of the size; 6: a third of the area."""
+    if kind == 5:
+        return np.rint(_shrunk(a.astype(np.float64), 1.5)).astype(np.uint8)
+    if kind == 6:
+        return a[18:74, 22:78]
     if kind == 1:
         return a[10:-6, 14:-4]
     if kind == 2:
@@ -384,14 +403,15 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for i in range(lo, min(len(ids), lo + 512)):
                 v = np.array(vectors[i].as_py() or [], np.float32)
-                picture = draw(int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little"))
-                out += [encode_pgm(picture), encode_pgm(np.ascontiguousarray(edit(picture, (ids[i] or 0) % 4 + 1)))]
+                seed = int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little")
+                picture = draw_rectangles(seed) if seed % 2 else draw(seed)
+                out += [encode_pgm(picture), encode_pgm(np.ascontiguousarray(edit(picture, EDITS[(ids[i] or 0) % len(EDITS)])))]
             names = [None if i is None else 2 * i + k for i in ids[lo : lo + 512] for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=["image_id", "image"])
 
 
 def drawn_images(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(image_id, image): for each vector a picture, under twice the id, and under the next number an edited copy of it.
+    """(image_id, image): for each vector a picture, rough or of rectangles, under twice the id, and under the next number an edited copy of it.
 
     Equal vectors have equal pictures; the id chooses the edit.
     """
