@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from tidegauge.llm.image_copies import _CORNER, corners, decode_pgm, draw, drawn_images, edit, encode_pgm, image_copies, image_links
+from tidegauge.llm.image_copies import _CORNER, EDITS, constellations, corners, decode_pgm, draw, draw_rectangles, drawn_images, edit, encode_pgm, image_copies, image_links, pack_corners, same_picture
 
 
 def truth_rows(n: int = 40):
@@ -38,48 +38,38 @@ def test_planted_copies(spark):
     assert image_copies(df.limit(0)).count() == 0
 
 
-def test_against_all_pairs(spark):
-    """Every pair of images compared corner by corner gives the same groups."""
+def test_links_against_all_pairs(spark):
+    """Every pair of images compared corner by corner: the tables lead to nearly all of these links, to no others, and to the same groups."""
     rows, _ = truth_rows(10)
-    found = {i: corners(decode_pgm(p)) for i, p, *_ in rows}
-    root = {i: i for i in found}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, (pa_, ta) in found.items():
-        for j, (pb, tb) in found.items():
-            if i < j:
-                near = (ta[:, None, :] != tb[None, :, :]).sum(axis=2)
-                a = np.flatnonzero(near.min(axis=1) <= 24)
-                b = near[a].argmin(axis=1)
-                turn = (pb[b, 3] - pa_[a, 3]) % 32
-                ang = turn * 2 * np.pi / 32
-                k = pb[b, 2] / pa_[a, 2]
-                ty = pb[b, 0] - k * (pa_[a, 1] * np.sin(ang) + pa_[a, 0] * np.cos(ang))
-                tx = pb[b, 1] - k * (pa_[a, 1] * np.cos(ang) - pa_[a, 0] * np.sin(ang))
-                votes = [((abs(ty - y) < 4) & (abs(tx - x) < 4) & (k == s)).sum() for y, x, s in zip(ty, tx, k)]
-                if max(votes, default=0) >= 6:
-                    x, y = sorted((find(i), find(j)))
-                    root[y] = x
+    rows += [(500 + 10 * g + k, encode_pgm(np.ascontiguousarray(edit(draw_rectangles(g), k))), "x", 1) for g in range(6) for k in range(4)]
+    found = {i: pack_corners(*corners(decode_pgm(p))) for i, p, *_ in rows}
+    links = {(j, i) for i in found for j in found if i < j and (same_picture(found[j], found[i], inliers=6, bin_px=8.0, far=12))}
+    component = {i: i for i in found}
+    for _ in found:
+        for j, i in links:
+            component[i] = component[j] = min(component[i], component[j])
     df = spark.createDataFrame([(i, p) for i, p, *_ in rows], "image_id long, image binary")
-    assert {r.image_id: r.component_id for r in image_copies(df).collect()} == {i: find(i) for i in found}
+    got = image_copies(df).collect()
+    assert {r.image_id: r.component_id for r in got} == component
+    assert all(r.n_links <= sum(r.image_id in link for link in links) for r in got)
+    assert sum(r.n_links for r in got) >= 0.97 * 2 * len(links)
 
 
 def bucket_rows(n_between: int):
-    """Two copies and, between them in the order of nodes, images whose corners have one of their codes each, with other tests."""
+    """Two copies and, between them in the order of nodes, images that have keys of theirs with corners in other places."""
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 2**32, (8, 4), dtype=np.uint32)
-    place = rng.integers(40, 300, (8, 2))
+    codes = rng.integers(0, 2**32, (9, 3), dtype=np.uint32)
+    place = np.array([(40 * (k // 3) + rng.integers(0, 9), 40 * (k % 3) + rng.integers(0, 9)) for k in range(9)]) * 2
     rows = []
     for node in range(n_between + 3):
-        r = np.zeros(8, _CORNER)
+        r = np.zeros(9, _CORNER)
         r["codes"], r["y"], r["x"] = codes, place[:, 0], place[:, 1]
         if node not in (1, n_between + 2):
-            r["codes"] = np.where(np.arange(4) == node % 4, codes, rng.integers(0, 2**32, (8, 4), dtype=np.uint32))
-        rows.append((node, r.tobytes()))
+            own = 3 * (node % 3)  # three corners in their places
+            others = np.setdiff1d(np.arange(9), np.arange(own, own + 3))
+            r["codes"][others] = rng.integers(0, 2**32, (6, 3), dtype=np.uint32)
+            r["y"][others] += 2000
+        rows.append((node, r[np.argsort(r["y"], kind="stable")].tobytes()))
     return rows
 
 
@@ -89,6 +79,33 @@ def test_copies_with_unlike_images_between_them_in_every_bucket(spark, options):
     assert [tuple(x) for x in image_links(df, **options).collect()] == [(402, 1)]
 
 
+def test_keys_depend_on_the_image_alone(spark):
+    """Not on the batch; a quarter turn keeps most of them, another picture has none."""
+    c = [pack_corners(*corners(x)) for x in (draw(1), np.rot90(draw(1)), draw_rectangles(4), np.zeros((96, 96)), draw(2))]
+    together = constellations(np.concatenate(c), np.array([len(x) for x in c]))
+    assert all((constellations(x, np.array([len(x)]))[0] == t).all() for x, t in zip(c, together))
+    assert len(np.intersect1d(together[0], together[1])) > 0.5 * len(together[0]) and not len(together[3])
+    assert not len(np.intersect1d(together[0], together[4]))
+
+
+def test_recall_by_edit(spark):
+    """Smooth, flat and text-like pictures: all whole copies and mild crops are found, no unlike pictures are joined."""
+
+    def glyphs(seed: int) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        a = np.full((112, 112), 240, np.uint8)
+        for y in range(4, 104, 11):
+            for x in range(4, 104, 8):
+                a[y : y + 7, x : x + 5] = np.where(rng.random((7, 5)) < 0.5, 20, 240)
+        return a
+
+    kinds = [draw, draw_rectangles, glyphs]
+    rows = [(100 * g + k, encode_pgm(np.ascontiguousarray(edit(kinds[g % 3](g), k)))) for g in range(18) for k in (0, *EDITS[:5])]
+    got = {r.image_id: r.component_id for r in image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert all(got[i] // 100 == i // 100 for i, _ in rows)
+    assert sum(got[i] == i // 100 * 100 for i, _ in rows) >= 0.98 * len(rows)
+
+
 def test_links_of_a_group_of_copies_are_all_pairs(spark):
     noisy = [np.clip(draw(1) + np.random.default_rng(k).normal(0, 2, (96, 96)), 0, 255) for k in range(9)]
     df = spark.createDataFrame([(k, encode_pgm(x)) for k, x in enumerate(noisy)], "image_id long, image binary")

@@ -7,24 +7,32 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytetext import mix
 from .components import connected_components
 from .runtime import cut, shuffle_partitions, tidy
+from .token_maps import is_set, token_maps
 
 _RADIUS = 9  # of the patch that gives a corner its direction and its tests
 _TESTS = 256
 _TURNS = 32
-_TABLES = 4
+_TABLES = 3
 _SCALES = (1.0, 1.5, 2.0)
 #: A corner stays if fewer than _KEEP stronger ones lie within _NEAR pixels: what a picture keeps, a crop of it keeps too.
 _KEEP = (6, 8, 8)
 _NEAR = 24
 _MARGIN = _RADIUS + 2
+#: A test holds if its second point is brighter by that much of its patch's deviation: flat ground decides no test by its noise.
+_LEAST = 0.1
+#: A corner's neighbours: so many of the nearest within reach, their places told in rings and sectors.
+_NEIGHBOURS, _REACH, _RING, _SECTORS = 3, 32.0, 3.0, 12
+_U = np.uint64
 
 
 def encode_pgm(pixels: np.ndarray) -> bytes:
@@ -59,10 +67,17 @@ _DISC_Y, _DISC_X = np.array([(y, x) for y in range(-_RADIUS, _RADIUS + 1) for x
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Means over (2r+1) squares with edges repeated."""
-    c = np.pad(a, ((r + 1, r), (r + 1, r)), mode="edge").cumsum(0).cumsum(1)
-    n = 2 * r + 1
-    return (c[n:, n:] - c[:-n, n:] - c[n:, :-n] + c[:-n, :-n]) / (n * n)
+    """Means over (2r+1) squares of the last two axes, with edges repeated."""
+    for axis in (-1, -2):
+        a = np.moveaxis(a, axis, -1)
+        wide = np.empty((*a.shape[:-1], a.shape[-1] + 2 * r))
+        wide[..., r:-r] = a
+        wide[..., :r], wide[..., -r:] = a[..., :1], a[..., -1:]
+        total = wide[..., : a.shape[-1]].copy()
+        for k in range(1, 2 * r + 1):
+            total += wide[..., k : k + a.shape[-1]]
+        a = np.moveaxis(total, -1, axis)
+    return a / (2 * r + 1) ** 2
 
 
 def _shrunk(a: np.ndarray, scale: float) -> np.ndarray:
@@ -99,7 +114,7 @@ def corners(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         smooth = _box(a, 1)
         gy, gx = np.gradient(smooth)
-        xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+        xx, yy, xy = _box(np.stack([gx * gx, gy * gy, gx * gy]), 2)
         score = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         inner = score[_MARGIN:-_MARGIN, _MARGIN:-_MARGIN]
         around = np.max([score[2 + k : score.shape[0] - 2 + k] for k in range(-2, 3)], axis=0)
@@ -115,7 +130,7 @@ def corners(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         turn = np.rint(angle * _TURNS / (2 * np.pi)).astype(np.int64) % _TURNS
         p = _TURNED[turn]
         v = smooth[y[:, None, None] + p[..., 0], x[:, None, None] + p[..., 1]]
-        tests.append(v[..., 0] < v[..., 1])
+        tests.append(v[..., 1] - v[..., 0] > _LEAST * patch.std(axis=1)[:, None])
         places.append(np.column_stack([(y + 0.5) * scale - 0.5, (x + 0.5) * scale - 0.5, np.full(len(y), scale), turn]))
     if not places:
         return np.empty((0, 4)), np.empty((0, _TESTS), bool)
@@ -124,207 +139,271 @@ def corners(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 _CORNER = np.dtype([("codes", "<u4", (_TABLES,)), ("y", "<u4"), ("x", "<u4"), ("scale", "u1"), ("turn", "u1")])
 _DESCRIBED = "id long, node long, corners binary"
-#: A corner's place in one number: which it is, its scale, its turn, and y and x in quarters of a pixel.
-_KP, _SCALE, _TURN, _Y = 43, 41, 36, 18
+
+
+def pack_corners(place: np.ndarray, tests: np.ndarray) -> np.ndarray:
+    """The tables' codes of each corner, its place in quarters of a pixel, its scale and turn."""
+    r = np.zeros(len(place), _CORNER)
+    r["codes"] = tests[:, _BITS] @ np.left_shift(np.int64(1), np.arange(32, dtype=np.int64))
+    for name, k in (("y", 0), ("x", 1)):
+        r[name] = np.maximum(0, np.rint(place[:, k] * 4))
+    r["scale"] = np.searchsorted(_SCALES, place[:, 2])
+    r["turn"] = place[:, 3]
+    return r
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weights = np.left_shift(np.int64(1), np.arange(32, dtype=np.int64))
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
             node, packed = [], []
             for raw in part.column(1):
                 pixels = decode_pgm(raw.as_py())
-                place, tests = corners(pixels) if pixels is not None else (np.empty((0, 4)), np.empty((0, _TESTS), bool))
                 node.append(None if pixels is None else int.from_bytes(hashlib.blake2b(repr(pixels.shape).encode() + pixels.tobytes(), digest_size=8).digest(), "little", signed=True))
-                r = np.zeros(len(place), _CORNER)
-                r["codes"] = tests[:, _BITS] @ weights
-                for name, k in (("y", 0), ("x", 1)):
-                    r[name] = np.clip(np.rint(place[:, k] * 4), 0, (1 << _Y) - 1)
-                r["scale"] = np.searchsorted(_SCALES, place[:, 2])
-                r["turn"] = place[:, 3]
-                packed.append(r.tobytes())
+                packed.append(b"" if pixels is None else pack_corners(*corners(pixels)).tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.int64()), pa.array(packed, pa.binary())], names=["id", "node", "corners"])
 
 
-def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2048):
-            part = batch.slice(lo, 2048)
-            raw = part.column(1).to_pylist()
-            sizes = [len(x) // _CORNER.itemsize for x in raw]
-            r = np.frombuffer(b"".join(raw), _CORNER)
-            kp = np.concatenate([np.arange(n, dtype=np.int64) for n in sizes])
-            place = (kp << _KP) | (r["scale"].astype(np.int64) << _SCALE) | (r["turn"].astype(np.int64) << _TURN) | (r["y"].astype(np.int64) << _Y) | r["x"].astype(np.int64)
-            codes = r["codes"].astype(np.int64)
-            key = (np.arange(_TABLES, dtype=np.int64) << 32)[None, :] | codes
-            node = np.repeat(part.column(0).to_numpy(), sizes)
-            # the codes of the other tables, in the order of the tables
-            others = np.array([[k for k in range(_TABLES) if k != t] for t in range(_TABLES)])
-            rest = r["codes"][:, others].reshape(-1, _TABLES - 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.ravel()), pa.array(np.repeat(node, _TABLES)), pa.array(np.repeat(place, _TABLES)), *[pa.array(np.ascontiguousarray(rest[:, k]).view(np.int32)) for k in range(_TABLES - 1)]],
-                names=["key", "node", "place", "r0", "r1", "r2"],
-            )
-
-
-#: One row of a table's bucket.
-_ENTRY = np.dtype([("node", "<i8"), ("place", "<i8"), ("rest", "<u4", (_TABLES - 1,))])
+def _nearest(y: np.ndarray, x: np.ndarray, reach: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each corner its nearest ones and whether they are within reach; whole numbers, y ascends, ``tie`` has 40 bits."""
+    near, reached = np.zeros((len(y), _NEIGHBOURS), np.int64), np.zeros((len(y), _NEIGHBOURS), bool)
+    none = np.iinfo(np.int64).max
+    for lo in range(0, len(y), 64):
+        hi = min(lo + 64, len(y))
+        most = reach[lo:hi].max()
+        a, b = int(np.searchsorted(y, y[lo] - most, "left")), int(np.searchsorted(y, y[hi - 1] + most, "right"))
+        far = (y[None, a:b] - y[lo:hi, None]) ** 2 + (x[None, a:b] - x[lo:hi, None]) ** 2
+        rank = np.where(far > reach[lo:hi, None] ** 2, none, (far << 40) | tie[None, a:b])
+        rank[np.arange(hi - lo), np.arange(lo - a, hi - a)] = none
+        k = min(_NEIGHBOURS, b - a)
+        at = np.argpartition(rank, k - 1, axis=1)[:, :k]
+        near[lo:hi, :k], reached[lo:hi, :k] = at + a, np.take_along_axis(rank, at, axis=1) < none
+    return near, reached
+
+
+def constellations(r: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct table keys of the corners of images that have ``sizes`` corners each.
+
+    A key is a corner's code in one table with the codes of two of its nearest corners there, and their distances and
+    directions as seen from it: unlike pictures that share a common corner seldom share what stands around it.
+    """
+    if not len(r):
+        return [np.empty(0, np.uint64)] * len(sizes)
+    image = np.repeat(np.arange(len(sizes)), sizes)
+    # corners of one scale of one image are a group; groups lie out of each other's reach
+    group = image * len(_SCALES) + r["scale"]
+    order = np.lexsort((r["y"], group))
+    r, group, image = r[order], group[order], image[order]
+    unit = (np.array(_SCALES) * 4)[r["scale"]]  # a pixel of the scale
+    y, x = r["y"].astype(np.int64), r["x"].astype(np.int64)
+    reach = (unit * _REACH).astype(np.int64)
+    codes = r["codes"].astype(np.uint64)
+    tie = (mix(codes[:, 0] + (codes[:, 1] << _U(32))) >> _U(24)).astype(np.int64)
+    near, reached = _nearest(y + group * (y.max() + 2 * reach.max()), x, reach, tie)
+    dy, dx = ((v[near] - v[:, None]) / unit[:, None] for v in (y, x))
+    apart = np.where(reached, np.hypot(dy, dx), 0.0)
+    angle = np.arctan2(dy, dx) - r["turn"][:, None] * (2 * np.pi / _TURNS)
+    place = apart // _RING * 64 + np.floor(angle * _SECTORS / (2 * np.pi)) % _SECTORS
+    around = mix((codes[near] << _U(16)) + place.astype(np.uint64)[:, :, None])
+    own = mix(codes + (np.arange(_TABLES, dtype=np.uint64) << _U(32)))
+    keys, owners = [], []
+    for i, j in combinations(range(_NEIGHBOURS), 2):
+        both = reached[:, i] & reached[:, j]
+        keys.append(mix(around[both, i] + around[both, j] + own[both]).ravel())
+        owners.append(np.repeat(image[both], _TABLES))
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    at = np.argsort(owners, kind="stable")
+    ends = np.cumsum(np.bincount(owners, minlength=len(sizes)))
+    return [np.unique(part) for part in np.split(keys[at], ends[:-1])]
+
+
+def _key_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for lo in range(0, batch.num_rows, 256):
+        raw = batch.column(0).slice(lo, 256).to_pylist()
+        yield from constellations(np.frombuffer(b"".join(raw), _CORNER), np.array([len(x) // _CORNER.itemsize for x in raw]))
+
+
+def _key_rows(maps):
+    """(key, node): the keys that the map allows to another image."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = maps.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                sets = list(_key_sets(part))
+                key = np.concatenate(sets)
+                shared = is_set(key, twice)
+                node = np.repeat(part.column(1).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(key[shared].view(np.int64)), pa.array(node[shared])], names=["key", "node"])
+
+    return tidy(rows)
+
+
 _TILE = 64
-_VOTE = "u long, v long, kp long, turn int, ratio float, ty float, tx float"
-_MET = f"{_VOTE}, key long, block int, entries binary"
-
-
-def _near(table: np.ndarray | int, x: list[np.ndarray], y: list[np.ndarray], far: int) -> np.ndarray:
-    """Whether corners of one bucket differ in at most ``far`` tests of all tables; true in the first table they share alone."""
-    differ, again = None, False
-    for k in range(_TABLES - 1):
-        d = x[k] ^ y[k]
-        again = again | ((d == 0) & (table > k))
-        n = np.bitwise_count(d)
-        differ = n if differ is None else differ + n
-    return (differ <= far) & ~again
-
-
-def _votes(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
-    """The similarity transform by which each corner i goes to corner j, for corners of unlike nodes; the greater node comes first."""
-    other = e["node"][i] != e["node"][j]
-    i, j = i[other], j[other]
-    swap = e["node"][i] < e["node"][j]
-    a, b = e[np.where(swap, j, i)], e[np.where(swap, i, j)]
-    bits = lambda p, at, n: (p["place"] >> at) & ((1 << n) - 1)
-    turn = (bits(b, _TURN, 5) - bits(a, _TURN, 5)) % _TURNS
-    angle = turn * (2 * np.pi / _TURNS)
-    scales = np.array([*_SCALES, 1.0])
-    ratio = scales[bits(b, _SCALE, 2)] / scales[bits(a, _SCALE, 2)]
-    y, x = bits(a, _Y, 18) / 4.0, bits(a, 0, 18) / 4.0
-    ty = bits(b, _Y, 18) / 4.0 - ratio * (x * np.sin(angle) + y * np.cos(angle))
-    tx = bits(b, 0, 18) / 4.0 - ratio * (x * np.cos(angle) - y * np.sin(angle))
-    return [a["node"], b["node"], a["place"] >> _KP, turn.astype(np.int32), np.round(np.log2(ratio), 1).astype(np.float32), np.round(ty, 1).astype(np.float32), np.round(tx, 1).astype(np.float32)]
-
-
-def _tiles(e: np.ndarray, table: int, rows: tuple[int, int], cols: tuple[int, int], far: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All near pairs of a range of rows with a range of columns; of a range with itself each pair once."""
-    rest = [np.ascontiguousarray(e["rest"][:, k]) for k in range(_TABLES - 1)]
-    for lo in range(*rows, _TILE):
-        hi = min(lo + _TILE, rows[1])
-        for c0 in range(lo if rows == cols else cols[0], cols[1], 8192):
-            c1 = min(c0 + 8192, cols[1])
-            i, j = np.nonzero(_near(table, [r[lo:hi, None] for r in rest], [r[None, c0:c1] for r in rest], far))
-            i, j = i + lo, j + c0
-            yield (i[i < j], j[i < j]) if rows == cols else (i, j)
-
-
-def _met(far: int, size: int):
-    """Streams buckets in the order of their keys: the votes of all their pairs, and for buckets of more than a block their blocks."""
-
-    def vote_rows(votes: list[np.ndarray]) -> pa.RecordBatch:
-        n = len(votes[0])
-        nothing = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-        return pa.RecordBatch.from_arrays([*map(pa.array, votes), *nothing], names=["u", "v", "kp", "turn", "ratio", "ty", "tx", "key", "block", "entries"])
-
-    def block_row(key: int, block: int, e: np.ndarray) -> pa.RecordBatch:
-        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.float32(), pa.float32())]
-        return pa.RecordBatch.from_arrays([*nothing, pa.array([key]), pa.array([block], pa.int32()), pa.array([e.tobytes()], pa.binary())], names=["u", "v", "kp", "turn", "ratio", "ty", "tx", "key", "block", "entries"])
-
-    def whole(key: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+_HELD = 1 << 20  # pairs that a task holds before it counts them
+_PAIR = "u long, v long, n long"
+_MET = f"{_PAIR}, key long, block int, nodes binary"
+
+
+def _counted(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    """Distinct (u, v) with their number."""
+    u, v = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    at = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
+    return [pa.array(u[at]), pa.array(v[at]), pa.array(np.diff(np.append(at, len(u))))]
+
+
+def _square(x: np.ndarray, y: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of two blocks of nodes, or of one block with itself; the greater node comes first."""
+    for lo in range(0, len(x), _TILE):
+        a, b = (x[lo : lo + _TILE], x) if y is None else (x[lo : lo + _TILE], y)
+        i, j = np.nonzero(a[:, None] > b[None, :]) if y is None else np.nonzero(a[:, None] != b[None, :])
+        yield np.maximum(a[i], b[j]), np.minimum(a[i], b[j])
+
+
+def _met(size: int):
+    """Streams (key, node) in order: the pairs of nodes in each bucket, and for buckets of more than ``size`` nodes their blocks."""
+
+    def whole(key: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         ends = np.append(heads[1:], len(key))
         sizes = ends - heads
-        rest = [np.ascontiguousarray(e["rest"][:, k]) for k in range(_TABLES - 1)]
-        table = key >> 32
-        # small buckets: rows that are d apart, of all of them at once
+        # small buckets: nodes that are d apart, of all of them at once
         end = np.repeat(np.where(sizes <= _TILE, ends, 0), sizes)
         i, d = np.arange(len(key)), 1
         while len(i := i[i + d < end[i]]):
-            near = i[_near(table[i], [r[i] for r in rest], [r[i + d] for r in rest], far)]
-            if len(near):
-                yield vote_rows(_votes(e, near, near + d))
+            yield node[i + d], node[i]
             d += 1
         for k in np.flatnonzero(sizes > _TILE).tolist():
-            own = e[heads[k] : ends[k]]
-            for i, j in _tiles(own, int(table[heads[k]]), (0, len(own)), (0, len(own)), far):
-                if len(i):
-                    yield vote_rows(_votes(own, i, j))
+            yield from _square(node[heads[k] : ends[k]], None)
+
+    def pair_rows(pairs: list) -> pa.RecordBatch:
+        counted = _counted(pairs)
+        n = len(counted[0])
+        return pa.RecordBatch.from_arrays([*counted, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["u", "v", "n", "key", "block", "nodes"])
+
+    def block_row(key: int, block: int, nodes: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.array([key]), pa.array([block], pa.int32()), pa.array([nodes.tobytes()], pa.binary())], names=["u", "v", "n", "key", "block", "nodes"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, e, hot, block = np.empty(0, np.int64), np.empty(0, _ENTRY), None, 0
+        key, node, hot, block = np.empty(0, np.int64), np.empty(0, np.int64), None, 0
+        held: list = []
         for batch in batches:
-            new = np.empty(batch.num_rows, _ENTRY)
-            new["node"], new["place"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for k in range(_TABLES - 1):
-                new["rest"][:, k] = batch.column(3 + k).to_numpy().view(np.uint32)
-            key, e = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([e, new])
-            if not len(key):
-                continue
+            key, node = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([node, batch.column(1).to_numpy()])
+            if len(key):  # an image that several rows have is one node
+                new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+                key, node = key[new], node[new]
             if hot is not None:  # the rest of a bucket that already has blocks
                 n = int(np.searchsorted(key, hot, "right"))
                 while n >= size or (n and n < len(key)):
                     m = min(n, size)
-                    yield block_row(hot, block, e[:m])
-                    key, e, n, block = key[m:], e[m:], n - m, block + 1
-                if n < len(key):
-                    hot = None
-                else:
+                    yield block_row(hot, block, node[:m])
+                    key, node, n, block = key[m:], node[m:], n - m, block + 1
+                if n == len(key):
                     continue
+                hot = None
+            if not len(key):
+                continue
             last = int(np.searchsorted(key, key[-1], "left"))
-            if last:
-                yield from whole(key[:last], e[:last])
-                key, e = key[last:], e[last:]
+            for pair in whole(key[:last], node[:last]) if last else ():
+                held.append(pair)
+                if sum(len(u) for u, _ in held) >= _HELD:
+                    yield pair_rows(held)
+                    held = []
+            key, node = key[last:], node[last:]
             if len(key) > size:
                 hot, block = int(key[0]), 0
                 while len(key) >= size:
-                    yield block_row(hot, block, e[:size])
-                    key, e, block = key[size:], e[size:], block + 1
+                    yield block_row(hot, block, node[:size])
+                    key, node, block = key[size:], node[size:], block + 1
         if len(key) and hot is not None:
-            yield block_row(hot, block, e)
+            yield block_row(hot, block, node)
         elif len(key):
-            yield from whole(key, e)
+            held += list(whole(key, node))
+        if held:
+            yield pair_rows(held)
 
     return tidy(stream)
 
 
-def _met_blocks(far: int):
-    """The votes of the pairs of two blocks of a bucket, or of one block."""
+def _met_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of two blocks of a bucket, or of one block."""
+    for batch in batches:
+        for x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            for pair in _square(np.frombuffer(x, np.int64), None if y is None else np.frombuffer(y, np.int64)):
+                yield pa.RecordBatch.from_arrays(_counted([pair]), names=["u", "v", "n"])
+
 
+def same_picture(a: np.ndarray, b: np.ndarray, *, inliers: int, bin_px: float, far: int) -> bool:
+    """Whether ``inliers`` corners of a agree on one scale, turn and shift that takes them to corners of b.
+
+    All corners are compared; two match if they differ in at most ``far`` tests of all tables. Matches vote in two
+    overlapping grids and for two turns. Pairs with thousands of matches need more: beyond a thousand, each tenfold
+    takes as many corners more.
+    """
+    at = []
+    for lo in range(0, len(a), 512):
+        i, j = np.nonzero(np.bitwise_count(a["codes"][lo : lo + 512, None, :] ^ b["codes"][None, :, :]).sum(axis=2, dtype=np.int64) <= far)
+        at.append((i + lo, j))
+    i, j = (np.concatenate([p[k] for p in at]) for k in (0, 1)) if at else (np.empty(0, int),) * 2
+    need = inliers * max(1.0, 1 + np.log10(max(1, len(i)) / 1000))
+    if len(np.unique(i)) < need:
+        return False
+    scales = np.array(_SCALES)
+    turn = (b["turn"][j].astype(np.int64) - a["turn"][i]) % _TURNS
+    angle = turn * (2 * np.pi / _TURNS)
+    ratio = scales[b["scale"][j]] / scales[a["scale"][i]]
+    y, x = a["y"][i] / 4.0, a["x"][i] / 4.0
+    ty = b["y"][j] / 4.0 - ratio * (x * np.sin(angle) + y * np.cos(angle))
+    tx = b["x"][j] / 4.0 - ratio * (x * np.cos(angle) - y * np.sin(angle))
+    step = np.rint(np.log2(ratio) * 10).astype(np.int64) + 32
+    cells = []
+    for g, off in enumerate((0.0, bin_px / 2)):
+        cy, cx = (np.clip(np.floor((t + off) / bin_px).astype(np.int64) + (1 << 15), 0, (1 << 16) - 1) for t in (ty, tx))
+        for k in (0, 1):
+            cells.append((((((step * _TURNS + (turn + k) % _TURNS) * 2 + g) << 16 | cy) << 16 | cx) << 18) | (i & ((1 << 18) - 1)))
+    votes = np.unique(np.concatenate(cells)) >> 18
+    return bool(np.diff(np.flatnonzero(np.append(np.append(True, votes[1:] != votes[:-1]), True))).max() >= need)
+
+
+def _agreed(inliers: int, bin_px: float, far: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                a = np.frombuffer(x, _ENTRY)
-                e = a if y is None else np.concatenate([a, np.frombuffer(y, _ENTRY)])
-                for i, j in _tiles(e, key >> 32, (0, len(a)), (0, len(a)) if y is None else (len(a), len(e)), far):
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, _votes(e, i, j))], names=["u", "v", "kp", "turn", "ratio", "ty", "tx"])
+            found = [
+                same_picture(np.frombuffer(a.as_buffer(), _CORNER), np.frombuffer(b.as_buffer(), _CORNER), inliers=inliers, bin_px=bin_px, far=far)
+                for a, b in zip(batch.column(2), batch.column(3))
+            ]
+            yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
 
     return tidy(rows)
 
 
-def image_links(described: DataFrame, *, inliers: int = 6, bin_px: float = 8.0, far: int = 16, block: int = 16384) -> DataFrame:
-    """Distinct (u, v): pairs of images ``described(node, corners)`` whose corners agree on one similarity transform.
+def image_links(described: DataFrame, *, inliers: int = 6, bin_px: float = 8.0, far: int = 12, keys: int = 2, block: int = 4096) -> DataFrame:
+    """Distinct (u, v), u > v: pairs of images ``described(node, corners)`` whose corners agree on one similarity transform.
 
-    Corners meet in ``_TABLES`` tables of 32 test bits each. All pairs of a table's bucket are compared, in blocks: two
-    corners match if they differ in at most ``far`` of the tables' tests together. Buckets of more than ``block`` rows
-    are dealt out as pairs of blocks. Each match votes for the scale, turn and shift that take one image to the other,
-    in two overlapping grids; ``inliers`` distinct corners in one cell make a link, more for pairs of thousands of votes.
+    Images meet in ``_TABLES`` tables under their corners' codes, each joined with two neighbours as the corner sees
+    them (:func:`constellations`). Keys that a single image has never move: a map of fixed size, counted over all
+    images, tells them apart. All pairs of a bucket count their common keys; buckets of more than ``block`` images are
+    dealt out as pairs of blocks. Pairs with ``keys`` common keys are compared corner by corner (:func:`same_picture`).
     """
-    rows = described.select("node", "corners").mapInArrow(_table_rows, "key long, node long, place long, r0 int, r1 int, r2 int")
-    met = cut(rows.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_met(far, block), _MET))
-    votes = met.where("key is null").select("u", "v", "kp", "turn", "ratio", "ty", "tx")
-    if not (blocks := met.where("key is not null").select("key", "block", "entries")).isEmpty():
-        a, b = blocks.alias("a"), blocks.withColumnsRenamed({"key": "b_key", "block": "b_block", "entries": "b_entries"})
-        both = a.join(b, F.expr("key = b_key AND block >= b_block")).select("key", "entries", F.expr("CASE WHEN block > b_block THEN b_entries END").alias("other"))
-        jobs = both.repartition(shuffle_partitions(rows.sparkSession))
-        votes = votes.unionByName(cut(jobs.mapInArrow(_met_blocks(far), _VOTE)))
-    grid = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.floor((F.col("ty") + dy) / bin_px).alias("cy"), F.floor((F.col("tx") + dx) / bin_px).alias("cx")) for g, (dy, dx) in enumerate([(0, 0), (bin_px / 2, bin_px / 2)])]))
-    # a pair without so many distinct corners can't agree in one cell: few pairs of unlike pictures are left to vote
-    paired = votes.groupBy("u", "v", "kp").agg(F.count("*").alias("n")).groupBy("u", "v").agg(F.count("*").alias("n"), F.sum("n").alias("all"))
-    # large pictures cast many votes by chance: beyond a thousand a pair, each tenfold takes as many corners more
-    need = F.lit(inliers) * F.greatest(F.lit(1.0), 1 + F.log10(F.col("all") / 1000))
-    enough = paired.withColumn("need", need).where("n >= need").select("u", "v", "need")
-    cells = votes.join(enough, ["u", "v"]).select("u", "v", "need", "kp", "turn", "ratio", grid.alias("c")).select("u", "v", "need", "kp", "ratio", F.explode(F.array("turn", F.pmod(F.col("turn") + 1, F.lit(_TURNS)))).alias("turn"), "c.g", "c.cy", "c.cx")
-    agreed = cells.distinct().groupBy("u", "v", "need", "ratio", "turn", "g", "cy", "cx").agg(F.count("*").alias("n")).where("n >= need")
-    return agreed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    spark = described.sparkSession
+    found = described.select("corners", "node")
+    n = int(found.agg(F.sum(F.octet_length("corners"))).first()[0] or 0) // _CORNER.itemsize
+    per_corner = _TABLES * _NEIGHBOURS * (_NEIGHBOURS - 1) // 2
+    maps = spark.sparkContext.broadcast(token_maps(found, n * per_corner, _key_sets)[1])
+    rows = found.mapInArrow(_key_rows(maps), "key long, node long")
+    met = cut(rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_met(block), _MET))
+    maps.destroy()  # what needed it is stored
+    pairs = met.where("key is null").select("u", "v", "n")
+    if not (blocks := met.where("key is not null").select("key", "block", "nodes")).isEmpty():
+        a, b = blocks, blocks.withColumnsRenamed({"key": "b_key", "block": "b_block", "nodes": "b_nodes"})
+        jobs = a.join(b, F.expr("key = b_key AND block >= b_block")).select("nodes", F.expr("CASE WHEN block > b_block THEN b_nodes END").alias("other"))
+        pairs = pairs.unionByName(jobs.repartition(shuffle_partitions(spark)).mapInArrow(_met_blocks, _PAIR))
+    pairs = pairs.groupBy("u", "v").agg(F.sum("n").alias("n")).where(F.col("n") >= keys).select("u", "v")
+    sides = [found.select(F.col("node").alias(side), F.col("corners").alias(name)) for side, name in (("u", "a"), ("v", "b"))]
+    return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "a", "b").mapInArrow(_agreed(inliers, bin_px, far), "u long, v long")
 
 
 def image_copies(df: DataFrame, *, id_col: str = "image_id", image_col: str = "image", inliers: int = 6) -> DataFrame:
@@ -334,11 +413,12 @@ def image_copies(df: DataFrame, *, id_col: str = "image_id", image_col: str = "i
     Rows without a readable image, or without corners, are their own component with no links; null ids keep
     their row with a null component. Empty tables give no rows; other columns are ignored.
     """
-    seen = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image")).mapInArrow(_described, _DESCRIBED))
-    sets = seen.select("id", "node")
-    heads = cut(sets.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("head")))
-    # equal images have equal corners: one of them is enough
-    one = seen.where("node is not null and id is not null").groupBy("node").agg(F.first("corners").alias("corners"))
+    seen = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image")).mapInArrow(_described, _DESCRIBED).withColumn("row", F.monotonically_increasing_id()))
+    sets = seen.select("id", "node", "row")
+    heads = cut(sets.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("head"), F.min("row").alias("first")))
+    # equal images have equal corners: the rows beyond the first are left out by their numbers, so that no corners move
+    again = sets.where("id is not null").join(heads.select("node", "first"), "node").where("row <> first").select("row")
+    one = seen.where("node is not null and id is not null").join(again, "row", "left_anti").select("node", "corners")
     links = cut(image_links(one, inliers=inliers))
     names = heads.select(F.col("node").alias("n"), "head")
     edges = links.join(names.withColumnsRenamed({"n": "u", "head": "a"}), "u").join(names.withColumnsRenamed({"n": "v", "head": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,17 +13,11 @@ from pyspark.sql import functions as F
 from .bytetext import byte_class, shingle_sets
 from .components import connected_components
 from .runtime import cut, shuffle_partitions, tidy
+from .token_maps import is_set, token_maps
 
 #: Words: runs of bytes other than space and the five ASCII controls from tab to carriage return.
 WORD_BYTES = byte_class(b" \t\n\x0b\x0c\r")
 _U = np.uint64
-_FLUSH = 1 << 21  # tokens that a task holds before it hands out counts
-_RANGE_TOKENS = 1 << 24  # tokens of one range of the count
-_SUB_BITS = 32
-_OFTEN_BITS = 24  # the map of frequent tokens has 2 MB whatever the input
-_OFTEN_FILL = 1 << 20
-_TWICE_BITS = 26  # the map of tokens in two documents or more has 8 MB whatever the input
-_LEVELS = (32, 256, 2048, 16384, 1 << 17)
 _QUERY_BLOCK, _MEMBER_BLOCK = 128, 256
 _NEEDED = 1 << 24  # bits of the map of documents whose texts are compared: 2 MB
 _SALTS = 64
@@ -62,104 +55,6 @@ def _set_rows(sim: Similarity):
     return tidy(rows)
 
 
-def _pack(sorted_tokens: np.ndarray) -> bytes:
-    """Gaps between sorted 32-bit numbers as two planes; the upper one is nearly empty and compresses in the exchange."""
-    gaps = np.diff(sorted_tokens, prepend=np.uint32(0)).astype("<u4").view("<u2")
-    return gaps[0::2].tobytes() + gaps[1::2].tobytes()
-
-
-def _unpack(raw: memoryview) -> np.ndarray:
-    planes = np.frombuffer(raw, "<u2").astype(np.uint32)
-    half = len(planes) // 2
-    return np.cumsum(planes[:half] | (planes[half:] << np.uint32(16)), dtype=np.uint32)
-
-
-def _count_rows(sim: Similarity, bits: int):
-    """Tokens of a task, counted and dealt by their leading bits: (range, tokens seen once, tokens seen more, counts)."""
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        sub = (tokens >> _U(64 - bits - _SUB_BITS)).astype(np.uint32)
-        edges = np.searchsorted(tokens, (np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)), "left").tolist() + [len(tokens)]
-        once, more, many = [], [], []
-        for a, b in zip(edges[:-1], edges[1:]):
-            s, c = sub[a:b], counts[a:b]
-            once.append(_pack(s[c == 1]))
-            more.append(_pack(s[c > 1]))
-            many.append(c[c > 1].astype(np.uint32).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(range(1 << bits), pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary()), pa.array(many, pa.binary())], names=["range", "once", "more", "many"])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for s in shingle_sets(batch.column(0), WORD_BYTES, sim.width):
-                held.append(s)
-                n += len(s)
-                if n >= max(_FLUSH, 8 << bits):
-                    yield flush(held)
-                    held, n = [], 0
-        if n:
-            yield flush(held)
-
-    return tidy(rows)
-
-
-def _map_slice(sub: np.ndarray, width: int) -> bytes:
-    """Bits of a range's part of a map: set at the leading ``width`` bits of each token."""
-    slot = np.zeros(1 << width, bool)
-    slot[sub >> np.uint32(_SUB_BITS - width)] = True
-    return zlib.compress(np.packbits(slot).tobytes(), 1)
-
-
-def _frequent(bits: int):
-    """One range: the map bits of the tokens in at least two documents (level 2) and in at least each level's number."""
-
-    def reduce(t: pa.Table) -> pa.Table:
-        once = np.sort(np.concatenate([_unpack(x.as_buffer()) for x in t.column("once")]))
-        more = np.concatenate([_unpack(x.as_buffer()) for x in t.column("more")])
-        many = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("many")]).astype(np.int64)
-        cut_at = np.flatnonzero(np.append(True, once[1:] != once[:-1])) if len(once) else np.empty(0, np.int64)
-        n_once = np.diff(np.append(cut_at, len(once)))
-        alone = ~np.isin(once[cut_at], more) & (n_once == 1)  # most tokens: in one document of all
-        keys = np.concatenate([once[cut_at][~alone], more])
-        counts = np.concatenate([n_once[~alone], many])
-        kept, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, weights=counts) if len(keys) else np.empty(0)
-        levels = [2, *_LEVELS]
-        often = [kept[total >= x] for x in levels]
-        maps = [_map_slice(x, (_OFTEN_BITS if k else _TWICE_BITS) - bits) for k, x in enumerate(often)]
-        r = t.column("range")[0].as_py()
-        return pa.table({"range": pa.array([r] * len(levels), pa.int32()), "level": pa.array(levels, pa.int32()), "n": pa.array([len(x) for x in often], pa.int64()), "map": pa.array(maps, pa.binary())})
-
-    return reduce
-
-
-def _token_maps(texts: DataFrame, tokens: int, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Two maps of fixed size over the tokens' leading bits, counted over every token of every text.
-
-    The first is set where a frequent token falls. It only chooses the order in which a set's tokens are probed: any
-    function of the token gives the same links. The second is set where a token of two documents or more falls;
-    a token that it lacks links nothing. False positives cost time and never a link.
-    """
-    bits = min(18, max(5, int(np.ceil(np.log2(max(1, tokens / _RANGE_TOKENS))))))
-    counted = texts.mapInArrow(_count_rows(sim, bits), "range int, once binary, more binary, many binary")
-    maps = cut(counted.groupBy("range").applyInArrow(_frequent(bits), "range int, level int, n long, map binary"))
-    sums = {r.level: r.n for r in maps.groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    level = next((x for x in _LEVELS if sums.get(x, 0) <= _OFTEN_FILL), _LEVELS[-1])
-    out = []
-    for at, width in ((level, _OFTEN_BITS), (2, _TWICE_BITS)):
-        whole, size = np.zeros(1 << (width - 3), np.uint8), 1 << (width - bits - 3)
-        for r in maps.where(F.col("level") == at).select("range", "map").toLocalIterator():
-            whole[r.range * size : (r.range + 1) * size] = np.frombuffer(zlib.decompress(r.map), np.uint8)
-        out.append(whole)
-    return out[0], out[1]
-
-
-def _is_set(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
-    at = tokens >> _U(64 - (int(len(table)).bit_length() + 2))
-    return (table[at >> _U(3)] >> (7 - (at & _U(7))).astype(np.uint8)) & 1 > 0
-
-
 def _probe_rows(sim: Similarity, maps):
     """The first core tokens of each set, frequent ones last: (token, often, fp, n, r).
 
@@ -173,10 +68,10 @@ def _probe_rows(sim: Similarity, maps):
         for batch in batches:
             parts, rests, sets = [], [], []
             for s in shingle_sets(batch.column(0), WORD_BYTES, sim.width):
-                core = s[_is_set(s, twice)]
+                core = s[is_set(s, twice)]
                 p = sim.prefix(len(s)) - (len(s) - len(core))
                 if p > 0:
-                    often = _is_set(core, frequent)
+                    often = is_set(core, frequent)
                     parts.append(np.concatenate([core[~often], core[often]])[:p])
                     rests.append(np.arange(len(core), len(core) - p, -1))
                     sets.append((_fingerprint(s), len(s)))
@@ -187,7 +82,7 @@ def _probe_rows(sim: Similarity, maps):
                 for lo in range(0, len(tokens), 1 << 18):
                     t = tokens[lo : lo + (1 << 18)]
                     own = slice(lo, lo + len(t))
-                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(_is_set(t, frequent)), pa.array(fp[own]), pa.array(n[own].astype(np.int32)), pa.array(r[own].astype(np.int32))], names=["token", "often", "fp", "n", "r"])
+                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(is_set(t, frequent)), pa.array(fp[own]), pa.array(n[own].astype(np.int32)), pa.array(r[own].astype(np.int32))], names=["token", "often", "fp", "n", "r"])
 
     return tidy(rows)
 
@@ -243,7 +138,8 @@ class TokenGroupJoin:
         """
         tokens = int(sets.agg(F.sum("n")).first()[0] or 0)
         texts = self.docs.select("text")
-        maps = self.spark.sparkContext.broadcast(_token_maps(texts, tokens, self.sim))
+        width = self.sim.width
+        maps = self.spark.sparkContext.broadcast(token_maps(texts, tokens, lambda batch: shingle_sets(batch.column(0), WORD_BYTES, width)))
         rows = texts.mapInArrow(_probe_rows(self.sim, maps), "token long, often boolean, fp long, n int, r int")
         salted = rows.withColumn("salt", F.when(F.col("often"), F.pmod(F.col("fp"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int"))
         # the less of a set is its own and the earlier the token comes, the more of it is left: r / n
