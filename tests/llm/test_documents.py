@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from tidegauge.llm import queries
 from tidegauge.llm.decontaminate import decontaminate, proximity_matches
@@ -62,28 +63,76 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(7)
 
 
-def test_byte_shards(spark, docs, rows):
-    got = sorted(byte_shards(docs, shards=6).collect(), key=lambda r: r.row_index)
-    want = sorted(rows)
-    assert [r.doc_id for r in got] == [r[0] for r in want]
-    assert [r.size for r in got] == [len((r[1] or "").encode()) + 16 for r in want]
-    assert [r.text_crc32 for r in got] == [zlib.crc32((r[1] or "").encode()) for r in want]
-    total, most = sum(r.size for r in got), max(r.size for r in got)
-    by = defaultdict(list)
-    for r in got:
-        by[r.shard].append(r)
-    assert [r.shard for r in got] == sorted(r.shard for r in got)
-    for s in by.values():
-        assert [r.slot for r in s] == list(range(len(s)))
-        assert abs(sum(r.size for r in s) - total / 6) <= most
-    assert byte_shards(docs.limit(0)).count() == 0
+def shards_brute(rows, shards):
+    """{(id, text): shard}, one row after the other."""
+    size = lambda t: len((t or "").encode()) + 16
+    key = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + 2**63) % 2**64 - 2**63
+    total, groups = sum(size(t) for _, t in rows), defaultdict(list)
+    for i, t in rows:
+        groups[t or ""].append(i)
+    bytes_of = {t: size(t) * len(ids) for t, ids in groups.items()}
+    heavy = {t for t, n in bytes_of.items() if n * shards * 64 >= total >= n * shards}
+    loads, out = [0] * shards, {}
+    for t in sorted(heavy, key=lambda t: (-bytes_of[t], key(t))):
+        s = loads.index(min(loads))
+        loads[s] += bytes_of[t]
+        out |= {(i, t): s for i in groups[t]}
+    light = total - sum(loads)
+    level = min(x for k, load in enumerate(sorted(loads)) if (x := (sum(sorted(loads)[: k + 1]) + light) / (k + 1)) >= load)
+    edges, end = [], 0.0
+    for load in loads:
+        end += max(0.0, level - load)
+        edges.append(end)
+    at = 0
+    for t in sorted(groups.keys() - heavy, key=key):
+        for i in sorted(groups[t], key=lambda i: (i is not None, i)):
+            middle = at + size(t) / 2 if bytes_of[t] * shards > total else at + bytes_of[t] / 2
+            out[i, t] = min(shards - 1, sum(e <= middle for e in edges))
+            at += size(t) if bytes_of[t] * shards > total else 0
+        at += 0 if bytes_of[t] * shards > total else bytes_of[t]
+    return out
 
 
-def test_byte_shards_hot_id_and_null_ids(spark):
-    df = spark.createDataFrame([(None, "x")] * 5 + [(7, None)] * 300 + [(8, "yy")] * 5, "doc_id long, text string")
+@pytest.mark.parametrize("shards", [1, 3, 6, 40])
+def test_byte_shards(spark, docs, rows, shards):
+    hot = "a text that a third of all bytes are of " * 4
+    pairs = [(r[0], r[1]) for r in rows] + [(90_000 + k, hot) for k in range(sum(len((r[1] or "").encode()) + 16 for r in rows) // (2 * len(hot)))]
+    df = spark.createDataFrame([(i, t, "s", "r", 7) for i, t in pairs], SCHEMA).repartition(7)
+    got = byte_shards(df, shards=shards).collect()
+    text = dict(pairs)
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in pairs)
+    want = shards_brute(pairs, shards)
+    assert {(r.doc_id, text[r.doc_id] or ""): r.shard for r in got} == {(i, t): s for (i, t), s in want.items()}
+    slots, of_text, bytes_of = defaultdict(list), defaultdict(set), Counter()
+    for r in got:
+        slots[r.shard].append(r.slot)
+        of_text[text[r.doc_id] or ""].add(r.shard)
+        bytes_of[text[r.doc_id] or ""] += r.size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    total = sum(r.size for r in got)
+    assert all(len(s) == 1 for t, s in of_text.items() if bytes_of[t] * shards <= total)  # groups are whole
+    if shards <= 6:
+        load = Counter()
+        for r in got:
+            load[r.shard] += r.size
+        most = max([n for t, n in bytes_of.items() if n * shards <= total and n * shards * 64 < total], default=0) + max(r.size for r in got if bytes_of[text[r.doc_id] or ""] * shards > total or shards > 1 and bytes_of[text[r.doc_id] or ""] * shards * 64 < total) if shards > 1 else total
+        assert max(load.values()) - min(load[k] for k in range(shards)) <= 2 * most
+    assert byte_shards(df.limit(0), shards=shards).count() == 0
+
+
+def test_byte_shards_hot_id_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "x")] * 5 + [(7, None)] * 150 + [(7, "")] * 150 + [(8, "yy")] * 5, "doc_id long, text string")
     got = byte_shards(df, shards=4).collect()
-    assert Counter(r.shard for r in got).total() == 310 and sorted(r.row_index for r in got) == list(range(310))
-    assert max(Counter(r.shard for r in got).values()) <= 79
+    assert Counter((r.doc_id, r.size) for r in got) == {(None, 17): 5, (7, 16): 300, (8, 18): 5}
+    assert max(Counter(r.shard for r in got).values()) <= 81 and len({r.shard for r in got if r.doc_id == 8}) == 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(4))
+
+
+def test_op5_columns(spark, tmp_path):
+    """The query's own columns over a table in a folder."""
+    spark.createDataFrame([(i, "word " * (i % 7)) for i in range(300)] + [(None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_byte_sharding(spark, str(tmp_path)).collect()
+    assert len(got) == 301 and {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None} and all(0 <= r.shard < 40 for r in got)
 
 
 def lines_brute(rows, min_docs, min_chars=1):
