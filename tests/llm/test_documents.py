@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from tidegauge.llm import queries
-from tidegauge.llm.decontaminate import decontaminate, proximity_matches
+from tidegauge.llm.decontaminate import decontaminate, positional_index, proximity_matches, without_leaks
 from tidegauge.llm.jaccard_join import jaccard_groups
 from tidegauge.llm.line_dedup import apply_keep_bitmaps, line_keep_bitmaps
 from tidegauge.llm.sharding import byte_shards
@@ -224,10 +224,44 @@ def test_decontaminate(spark, docs, rows):
     assert all(r.n_hit == 0 for r in decontaminate(docs, bench.limit(0)).collect())
 
 
-def test_proximity(spark):
-    df = spark.createDataFrame([(1, "a x b y c"), (2, "a " + "q " * 60 + "b c"), (3, "c b a"), (None, "b a c")], "doc_id long, text string")
-    bench = spark.createDataFrame([(9, "a b c")], "item_id long, text string")
-    assert {r.doc_id for r in proximity_matches(df, bench, span=5).collect()} == {1, 3, None}
+def test_without_leaks_keeps_all_columns(spark, rows):
+    t = [r[1] for r in rows if r[1] and 20 < len(r[1].split()) < 200]
+    items = [(1, " ".join(t[3].split()[2:30])), (2, "one two"), (3, None), (5, t[10].upper())]
+    clean = {i for i, v in hits_brute(rows, items).items() if not v[1]}
+    df = spark.createDataFrame([(*r[:2], "a", None, 3) for r in rows] * 2, "doc_id long, text string, leak string, items string, n_hit int").repartition(3)
+    for chunk in (4_000_000, 20):
+        out = without_leaks(df, spark.createDataFrame(items, "item_id long, text string"), chunk_words=chunk)
+        assert out.columns == df.columns
+        assert Counter(r.doc_id for r in out.collect()) == {i: 2 for i in clean}
+
+
+def near_brute(rows, items, slack):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = set()
+    for d, t, *_ in rows:
+        w = words(t)
+        for item, text in items:
+            need = set(words(text))
+            span = len(words(text)) + slack
+            at = next((p for p in range(len(w)) if need and w[p] in need and need <= set(w[p : p + span])), None)
+            if at is not None:
+                out.add((d, item, at))
+    return out
+
+
+def test_proximity(spark, rows):
+    short = [(1, "a x b y c"), (2, "a " + "q " * 60 + "b c"), (3, "c b a"), (None, "b a c"), (4, None), (5, ""), (6, "a a a b " + "z " * 9 + "c")]
+    df = spark.createDataFrame(short, "doc_id long, text string").repartition(2)
+    bench = [(9, "a b c"), (10, None), (11, "...")]
+    for slack in (0, 2, 8, 70):
+        for chunk in (4_000_000, 2):
+            got = proximity_matches(positional_index(df), spark.createDataFrame(bench, "item_id long, text string"), slack=slack, chunk_words=chunk)
+            assert {(r.doc, r.item, r.position) for r in got.collect()} == near_brute(short, bench, slack)
+    t = [r[1] for r in rows if r[1] and 20 < len(r[1].split()) < 200]
+    items = [(k, " ".join(reversed(x.split()[4:12]))) for k, x in enumerate(t[:40])] + [(90, t[3].split()[0])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    got = {(r.doc, r.item, r.position) for r in proximity_matches(positional_index(docs), spark.createDataFrame(items, "item_id long, text string"), slack=5).collect()}
+    assert got == near_brute(rows, items, 5) and len(got) > 40
 
 
 def jaccard_brute(rows):

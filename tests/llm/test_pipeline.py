@@ -54,12 +54,51 @@ def test_stages(spark):
         rows = got
 
 
+ODD = "doc_id long, text string, kept string, n_lines int, n_dropped int, leak string, row string, stays boolean, `a.b` string, key long"
+
+
+def odd_rows() -> list[tuple]:
+    """Names of the operators' own columns, ids with two texts, null ids, repeated rows, blank and null texts."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    texts = [(1, text(1)), (1, text(2)), (1, text(1)), (2, text(1) + " more"), (None, text(3)), (None, text(3)), (None, text(2)), (3, None), (3, None), (4, ""), (4, ""), (5, "\n"), (6, text(4) + "\nevery line"), (7, text(3))]
+    texts += [(20 + k, f"{text(30 + k)}\nevery line\n  Every LINE\t") for k in range(10)]
+    return [(i, t, "k", 1, 2, "l", "r", True, "ab", 9) for i, t in texts]
+
+
+def test_stages_on_odd_tables(spark):
+    df = spark.createDataFrame(odd_rows(), ODD).repartition(4)
+    one = lambda out: sorted((r[:2] for r in map(tuple, out.collect())), key=repr)
+    passed = lambda out: {tuple(r)[2:] for r in out.collect()} == {odd_rows()[0][2:]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns and passed(out), name
+        assert stage(spark, df.limit(0), SF).count() == 0
+        if name == "lines":
+            want = [(i, None if t is None else "\n".join(x for x in t.split("\n") if x.strip().lower() != "every line")) for i, t, *_ in odd_rows()]
+            assert one(out) == sorted(want, key=repr)
+        elif name == "near_duplicates":
+            rows = [r[:2] for r in odd_rows()]
+            gone = [rows[2], rows[3], rows[4], rows[5], rows[6]]  # copies of a text that the least id has, or of a row
+            want = [*rows]
+            for r in gone:
+                want.remove(r)
+            assert one(out) == sorted(want, key=repr)
+        elif name == "benchmark_leaks":
+            assert one(out) == sorted((r[:2] for r in odd_rows()), key=repr)
+        elif name == "quality":
+            assert all(t and t.strip() for _, t in one(out))
+
+
 def test_run_on_nulls_and_repeats(spark, tmp_path):
+    """Repeated rows change nothing in what is packed; null ids are packed once, blank texts go."""
     from pyspark.sql import functions as F
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
-    odd = docs.unionByName(docs).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
-    odd.write.parquet(str(tmp_path / "documents.parquet"))
-    for t in ("labels", "benchmark"):
-        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    plain, odd = tmp_path / "plain", tmp_path / "odd"
+    extra = docs.unionByName(docs).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    for folder, table in ((plain, docs), (odd, extra)):
+        table.write.parquet(f"{folder}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+    pieces = [sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(f)).collect()) for f in (plain, odd)]
+    assert len(pieces[0]) > 20 and pieces[0] == pieces[1]

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import blocks, byte_class, text_buffer, word_hashes, word_spans
-from .runtime import cut, tidy
+from .runtime import cut, same_columns, stored, tidy
 
 #: Words of items and documents: runs of ASCII letters and digits and of bytes from 0x80.
 WORD_BYTES = byte_class(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
-_INDEX = "doc binary, n_words binary, terms binary, ends binary, positions binary"
+_INDEX_COLUMNS = ("doc", "n_words", "terms", "ends", "positions")
+_INDEX = ", ".join(f"{c} binary" for c in _INDEX_COLUMNS)
 _PROBE_WINDOWS = 1 << 18
 
 
@@ -33,48 +34,43 @@ def item_words(items: DataFrame, *, item_col: str = "item_id", text_col: str = "
     return items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).mapInArrow(_vocabulary, "item long, words array<long>")
 
 
-def _index_rows(vocabulary: np.ndarray | None):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms_of = None if vocabulary is None else vocabulary.value
-        for batch in batches:
-            buf, offsets = text_buffer(batch.column(1))
-            # null ids travel as the smallest number and come back as null
-            ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-            for lo, hi in blocks(offsets):
-                part, own = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                starts, ends, first = word_spans(part, own, WORD_BYTES)
-                n_words = np.diff(first)
-                h = word_hashes(part, starts, ends)
-                # positions count all words, with a gap of one word between documents that no phrase can cross
-                gap = np.repeat(np.arange(len(n_words)), n_words)
-                pos = np.arange(len(h)) + gap
-                if terms_of is not None:
-                    k = np.searchsorted(terms_of, h)
-                    k[k == len(terms_of)] = 0
-                    known = terms_of[k] == h if len(terms_of) else np.zeros(len(h), bool)
-                    h, pos = h[known], pos[known]
-                order = np.argsort(h, kind="stable")
-                h, pos = h[order], pos[order]
-                cuts = np.flatnonzero(np.append(h[1:] != h[:-1], True)) + 1 if len(h) else np.empty(0, np.int64)
-                packed = [ids[lo:hi].astype(np.int64), n_words.astype(np.int64), h[cuts - 1] if len(h) else h, cuts.astype(np.int64), pos.astype(np.int64 if len(pos) and pos[-1] > 2**31 else np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names=["doc", "n_words", "terms", "ends", "positions"])
+def _postings(ids: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> Iterator[dict]:
+    """Index rows, one for each block of texts."""
+    for lo, hi in blocks(offsets):
+        part, own = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        starts, ends, first = word_spans(part, own, WORD_BYTES)
+        n_words = np.diff(first)
+        h = word_hashes(part, starts, ends)
+        # positions count all words, with a gap of one word between documents that no phrase can cross
+        pos = np.arange(len(h)) + np.repeat(np.arange(len(n_words)), n_words)
+        order = np.argsort(h, kind="stable")
+        h, pos = h[order], pos[order]
+        cuts = np.flatnonzero(np.append(h[1:] != h[:-1], True)) + 1 if len(h) else np.empty(0, np.int64)
+        wide = np.int64 if len(pos) and len(pos) + len(n_words) > 2**31 else np.int32
+        yield {"doc": ids[lo:hi].astype(np.int64), "n_words": n_words.astype(np.int64), "terms": h[cuts - 1] if len(h) else h, "ends": cuts.astype(np.int64), "positions": pos.astype(wide)}
 
-    return tidy(rows)
+
+def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        # null ids travel as the smallest number and come back as null
+        ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
+        for row in _postings(ids, *text_buffer(batch.column(1))):
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row.values()], names=list(row))
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
-def positional_index(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: np.ndarray | None = None) -> DataFrame:
+def positional_index(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per block of about 2 MB of documents: their ids and word counts, the block's terms and posting lists.
 
-    The index is partitioned by document, so phrases are found without moving a posting: no term, however frequent,
-    gathers in one task. ``vocabulary`` (a broadcast sorted array of fingerprints) leaves out the terms that
-    no test item has. Null texts have no words; a text longer than a block is a block of its own. The frame can be
-    written as Parquet and searched later. An empty table gives no rows; other columns are ignored.
+    The index holds every word and is partitioned by document, so phrases are found without moving a posting: no term,
+    however frequent, gathers in one task. Null texts have no words; a text longer than a block is a block of its own.
+    The frame can be written as Parquet and searched for any test set. An empty table gives no rows; other columns are
+    ignored.
     """
-    return _documents(df, id_col, text_col).mapInArrow(_index_rows(vocabulary), _INDEX)
+    return _documents(df, id_col, text_col).mapInArrow(tidy(_index_rows), _INDEX)
 
 
 class _Block:
@@ -133,63 +129,106 @@ class _Block:
         return np.searchsorted(self.first, position, "right") - 1
 
 
-def item_windows(words: list[tuple[int, np.ndarray]], width: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """[(item numbers, windows)] by window width: all runs of ``width`` words, or the whole of a shorter item."""
-    by: dict[int, tuple[list, list]] = {}
-    for item, w in words:
-        if len(w):
-            size = min(width, len(w))
-            runs = np.lib.stride_tricks.sliding_window_view(w, size)
-            items, tables = by.setdefault(size, ([], []))
-            items.append(np.full(len(runs), item, np.int64))
-            tables.append(runs)
-    return [(np.concatenate(i), np.concatenate(t)) for i, t in by.values()]
-
-
-def _id_list(ids: np.ndarray) -> list[str]:
-    return sorted(map(str, np.unique(ids).tolist()))
-
-
-def _hits(windows):
-    """Index rows to (doc, n_words, hit positions as runs, items found) per document with words hit or not."""
+class _Items:
+    """Some test items: their words one after the other, and where each begins."""
+
+    def __init__(self, items: list[int], words: list[np.ndarray]):
+        self.items = np.array(items, np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        self.words = np.concatenate([np.empty(0, np.uint64), *words])
+
+    def windows(self, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item numbers, windows), some at a time: all runs of ``width`` words, or the whole of a shorter item."""
+        sizes = np.diff(self.offsets)
+        for size in np.unique(np.minimum(sizes, width)).tolist():
+            own = np.flatnonzero(sizes >= size) if size == width else np.flatnonzero(sizes == size)
+            if size:
+                runs = sizes[own] - size + 1
+                at = np.repeat(self.offsets[own] - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
+                items = np.repeat(self.items[own], runs)
+                for lo in range(0, len(at), _PROBE_WINDOWS):
+                    yield items[lo : lo + _PROBE_WINDOWS], self.words[at[lo : lo + _PROBE_WINDOWS, None] + np.arange(size)]
+
+
+class _Found:
+    """What is found in one block so far: the words hit and the items of each document."""
+
+    def __init__(self, b: _Block, row: dict):
+        self.b = b
+        self.hit = np.unpackbits(np.frombuffer(row["hit"], np.uint8))[: b.span].astype(bool) if row.get("hit") else np.zeros(b.span, bool)
+        self.pairs = [np.frombuffer(row["pairs"], np.int64).reshape(-1, 2)] if row.get("pairs") else []
+
+    def search(self, items: _Items, width: int) -> None:
+        cover = np.zeros(self.b.span + 1, np.int64)
+        for item, table in items.windows(width):
+            w, p = self.b.phrases(table)
+            if len(w):
+                np.add.at(cover, p, 1)
+                np.add.at(cover, p + table.shape[1], -1)
+                self.pairs.append(np.unique(np.column_stack([self.b.document(p), item[w]]), axis=0))
+        self.hit |= np.cumsum(cover)[:-1] > 0
+
+    def n_hit(self) -> np.ndarray:
+        hit = np.concatenate([[0], np.cumsum(self.hit)])
+        return hit[self.b.first[1:] - 1] - hit[self.b.first[:-1]]
+
+    def items(self) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in self.b.doc]
+        if self.pairs:
+            for d, i in np.unique(np.concatenate(self.pairs), axis=0).tolist():
+                out[d].append(i)
+        return out
+
+
+def _searched(items, width: int, last: bool):
+    """Index rows with what some items add to what was found before; after the ``last`` items a row per document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = windows.value
         for batch in batches:
             for row in batch.to_pylist():
                 b = _Block(row)
-                cover = np.zeros(b.span + 1, np.int64)
-                doc_items: list[np.ndarray] = []
-                for items, table in groups:
-                    for lo in range(0, len(table), _PROBE_WINDOWS):
-                        w, p = b.phrases(table[lo : lo + _PROBE_WINDOWS])
-                        if len(w):
-                            np.add.at(cover, p, 1)
-                            np.add.at(cover, p + table.shape[1], -1)
-                            doc_items.append(np.unique(np.column_stack([b.document(p), items[lo + w]]), axis=0))
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
-                n_hit = hit[b.first[1:] - 1] - hit[b.first[:-1]]
-                found: list[list[int]] = [[] for _ in b.doc]
-                if doc_items:
-                    for d, i in np.unique(np.concatenate(doc_items), axis=0).tolist():
-                        found[d].append(i)
-                missing = b.doc == np.iinfo(np.int64).min
-                yield pa.RecordBatch.from_arrays([pa.array(b.doc, mask=missing), pa.array(b.n_words), pa.array(n_hit.astype(np.int64)), pa.array(found, pa.list_(pa.int64()))], names=["doc", "n_words", "n_hit", "items"])
+                found = _Found(b, row)
+                found.search(items.value, width)
+                if last:
+                    yield pa.RecordBatch.from_arrays([pa.array(b.doc, mask=b.doc == np.iinfo(np.int64).min), pa.array(b.n_words), pa.array(found.n_hit().astype(np.int64)), pa.array(found.items(), pa.list_(pa.int64()))], names=["doc", "n_words", "n_hit", "items"])
+                else:
+                    pairs = np.concatenate(found.pairs) if found.pairs else np.empty((0, 2), np.int64)
+                    row |= {"hit": np.packbits(found.hit).tobytes(), "pairs": np.unique(pairs, axis=0).tobytes()}
+                    yield pa.RecordBatch.from_pylist([row], schema=pa.schema([(k, pa.binary()) for k in (*_INDEX_COLUMNS, "hit", "pairs")]))
 
     return tidy(rows)
 
 
-def _broadcast_items(items: DataFrame, item_col: str, text_col: str, chunk_words: int) -> Iterator[tuple[np.ndarray, list[tuple[int, np.ndarray]]]]:
-    """The test items in chunks of at most ``chunk_words`` words (a longer item is a chunk of its own)."""
+def _chunks(items: DataFrame, item_col: str, text_col: str, chunk_words: int) -> tuple[int, Iterator]:
+    """(number of chunks, chunks): the test items in broadcast parts of about ``chunk_words`` words, one at a time.
+
+    Items go to chunks by the hash of their id, a longer item is nearly a chunk of its own.
+    """
     spark = items.sparkSession
     listed = cut(item_words(items, item_col=item_col, text_col=text_col).where("item is not null").select("item", "words", F.size("words").alias("n")))
     total = listed.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
     chunks = max(1, -(-int((total.n or 0) + total.rows) // chunk_words))
-    for c in range(chunks):
-        own = listed.where(F.pmod(F.xxhash64("item"), F.lit(chunks)) == c) if chunks > 1 else listed
-        words = [(r.item, np.array(r.words, np.int64).view(np.uint64)) for r in own.select("item", "words").toLocalIterator()]
-        vocabulary = np.unique(np.concatenate([w for _, w in words])) if words else np.empty(0, np.uint64)
-        yield spark.sparkContext.broadcast(vocabulary), words
+
+    def each():
+        for c in range(chunks):
+            own = listed.where(F.pmod(F.xxhash64("item"), F.lit(chunks)) == c).select("item", "words")
+            got = [(r.item, np.array(r.words, np.int64).view(np.uint64)) for r in own.toLocalIterator()]
+            yield spark.sparkContext.broadcast(_Items([i for i, _ in got], [w for _, w in got]))
+
+    return chunks, each()
+
+
+def phrase_matches(index: DataFrame, items: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", width: int = 10, chunk_words: int = 4_000_000) -> DataFrame:
+    """(doc, n_words, n_hit, items) of every document of ``index``; see :func:`decontaminate`.
+
+    Each chunk of items is one pass over the index, which carries what was found before; no posting and no text moves.
+    """
+    n, chunks = _chunks(items, item_col, item_text_col, chunk_words)
+    for k, chunk in enumerate(chunks, 1):
+        if k < n:
+            index = stored(index.mapInArrow(_searched(chunk, width, False), f"{_INDEX}, hit binary, pairs binary"), "postings")
+            chunk.unpersist()
+    return index.mapInArrow(_searched(chunk, width, True), "doc long, n_words long, n_hit long, items array<long>")
 
 
 def decontaminate(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, chunk_words: int = 4_000_000) -> DataFrame:
@@ -198,105 +237,114 @@ def decontaminate(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
     A window is ``width`` consecutive words of an item, or the whole of an item with fewer words; matching is exact on
     64-bit word fingerprints with A-Z lower-cased. A document word inside any occurrence is hit, once.
 
-    Items go to the executors in chunks of ``chunk_words`` words, whose size is counted first; a larger test set is
-    several passes over the documents (hit positions of different chunks add up through ``n_hit``'s maximum cover,
-    so more than one chunk keeps positions apart by item: see ``n_hit`` below).
+    The index of all documents is written to the shared folder and searched from there. Items go to the executors as
+    words in chunks of about ``chunk_words``, one at a time; a larger test set is several passes over the index.
 
     Null and wordless texts have n_words 0 and hit nothing; null or wordless items have no windows; items of equal
-    text all count; repeated rows give repeated rows; null ids stay null. Empty tables give no hits or no rows. With
-    several chunks ``n_hit`` is the number of distinct hit words over all chunks, joined by position lists.
+    text all count; repeated rows give repeated rows; null ids stay null. Empty tables give no hits or no rows. Other
+    columns are ignored.
     """
     if width < 1:
         raise ValueError("width must be positive")
-    spark = df.sparkSession
-    chunks = list(_broadcast_items(items, item_col, item_text_col, chunk_words))
-    if len(chunks) == 1:
-        vocabulary, words = chunks[0]
-        windows = spark.sparkContext.broadcast(item_windows(words, width))
-        build, search = _index_rows(vocabulary), _hits(windows)
-        # an index that is searched once is built and searched block by block in one pass
-        found = _documents(df, id_col, text_col).mapInArrow(lambda batches: search(build(batches)), "doc long, n_words long, n_hit long, items array<long>")
-        return found.select(F.col("doc").alias(id_col), "n_words", "n_hit", "items")
-    index = cut(positional_index(df, id_col=id_col, text_col=text_col).withColumn("block", F.monotonically_increasing_id()))
-    runs = None
-    for _, words in chunks:
-        part = index.mapInArrow(_hit_positions(spark.sparkContext.broadcast(item_windows(words, width))), "block long, nth int, doc long, n_words long, hit array<long>, items array<long>")
-        runs = part if runs is None else runs.unionByName(part)
-    merged = runs.groupBy("block", "nth").agg(
-        F.first("doc").alias("doc"), F.first("n_words").alias("n_words"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return merged.select(F.col("doc").alias(id_col), "n_words", "n_hit", "items")
-
-
-def _hit_positions(windows):
-    """Like _hits, with the hit positions themselves, for the union over chunks of items."""
+    index = stored(positional_index(df, id_col=id_col, text_col=text_col), "postings")
+    return phrase_matches(index, items, item_col=item_col, item_text_col=item_text_col, width=width, chunk_words=chunk_words).withColumnRenamed("doc", id_col)
+
 
+def _clean_rows(items, width: int, at: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(row)
-                hit: list[set] = [set() for _ in b.doc]
-                found: list[set] = [set() for _ in b.doc]
-                for items, table in windows.value:
-                    w, p = b.phrases(table)
-                    for d, i, at in zip(b.document(p).tolist(), items[w].tolist(), p.tolist()):
-                        found[d].add(i)
-                        hit[d].update(range(at, at + table.shape[1]))
-                n = len(b.doc)
-                missing = b.doc == np.iinfo(np.int64).min
-                columns = [pa.array([row["block"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(b.doc, mask=missing), pa.array(b.n_words), pa.array([sorted(x) for x in hit], pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "nth", "doc", "n_words", "hit", "items"])
+            buf, offsets = text_buffer(batch.column(at))
+            lo = 0
+            for row in _postings(np.zeros(len(offsets) - 1, np.int64), buf, offsets):
+                found = _Found(_Block({k: v.tobytes() for k, v in row.items()}), {})
+                found.search(items.value, width)
+                yield batch.slice(lo, len(found.b.doc)).filter(pa.array(found.n_hit() == 0))
+                lo += len(found.b.doc)
 
     return tidy(rows)
 
 
-def _near(words, span: int):
+def without_leaks(df: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, chunk_words: int = 4_000_000) -> DataFrame:
+    """The rows of ``df``, all columns unchanged, with no word inside a window of an item.
+
+    The index of a block is searched where its rows are, so nothing is moved or stored; each chunk of items is one
+    more filter. Rows play no part by their ids: null ids and repeated rows are judged like others. Null texts stay.
+    """
+    _, chunks = _chunks(items, item_col, item_text_col, chunk_words)
+    for chunk in chunks:
+        df = same_columns(df, _clean_rows(chunk, width, df.columns.index(text_col)))
+    return df
+
+
+def _near(items, slack: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = items.value
         for batch in batches:
-            docs, items, at = [], [], []
+            docs, found, at = [], [], []
             for row in batch.to_pylist():
                 b = _Block(row)
-                for item, w in words.value:
-                    need = np.unique(w)
-                    slots = b.slots(need)
-                    if not len(need) or (slots < 0).any():
+                known = b.slots(chunk.words) if len(chunk.words) else np.empty(0, np.int64)
+                alive = np.concatenate([[0], np.cumsum(known < 0)])
+                for k, item in enumerate(chunk.items.tolist()):
+                    lo, hi = int(chunk.offsets[k]), int(chunk.offsets[k + 1])
+                    if lo == hi or alive[hi] > alive[lo]:
                         continue
-                    lists = [b.positions[b.begins[s] : b.ends[s]] for s in sorted(slots.tolist(), key=lambda s: b.ends[s] - b.begins[s])]
-                    # anchored at every posting of the rarest term: the best span that starts at or before it
-                    for p in lists[0].tolist():
-                        d = int(np.searchsorted(b.first, p, "right") - 1)
-                        lo, hi = max(int(b.first[d]), p - span + 1), min(int(b.first[d + 1]) - 1, p + span)
-                        near = [x[np.searchsorted(x, lo) : np.searchsorted(x, hi)] for x in lists]
-                        if all(len(x) for x in near):
-                            events = np.sort(np.concatenate([x * len(near) + k for k, x in enumerate(near)]))
-                            where, which = events // len(near), events % len(near)
-                            last = np.full(len(near), -(10**15))
-                            for q, k in zip(where.tolist(), which.tolist()):
-                                last[k] = q
-                                if q - last.min() < span:
-                                    docs.append(int(b.doc[d]))
-                                    items.append(item)
-                                    at.append(int(last.min() - b.first[d]))
-                                    break
+                    for d, p in _spans(b, np.unique(known[lo:hi]), hi - lo + slack):
+                        docs.append(int(b.doc[d]))
+                        found.append(item)
+                        at.append(p - int(b.first[d]))
             missing = np.array(docs, np.int64) == np.iinfo(np.int64).min
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(docs, np.int64), mask=missing), pa.array(items, pa.int64()), pa.array(at, pa.int64())], names=["doc", "item", "position"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(docs, np.int64), mask=missing), pa.array(found, pa.int64()), pa.array(at, pa.int64())], names=["doc", "item", "position"])
 
     return tidy(rows)
 
 
-def proximity_matches(df: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 50, chunk_words: int = 4_000_000) -> DataFrame:
-    """Distinct (doc, item, position): places where all words of an item, in any order, lie within ``span`` words.
+def _spans(b: _Block, slots: np.ndarray, span: int) -> Iterator[tuple[int, int]]:
+    """(document, position): the first place in each document from which ``span`` words hold all terms ``slots``.
 
-    Postings of the item's rarest term anchor the search; wordless items match nothing.
+    Lists are taken from the rarest term on: only what lies within a span of its postings is looked at.
+    """
+    lists = sorted((b.positions[b.begins[s] : b.ends[s]] for s in slots.tolist()), key=len)
+    near = lists[0]
+    for other in lists[1:]:  # postings of the rarest term that have every other term within a span, in their document
+        lo, hi = np.searchsorted(other, near - span + 1), np.searchsorted(other, near + span)
+        near = near[hi > lo]
+        if not len(near):
+            return
+    doc = b.document(near)
+    lo = np.maximum(b.first[doc], near - span + 1)
+    hi = np.minimum(b.first[doc + 1] - 1, near + span)
+    told = -1
+    for d, a, z in zip(doc.tolist(), lo.tolist(), hi.tolist()):
+        if d == told:
+            continue
+        parts = [x[np.searchsorted(x, a) : np.searchsorted(x, z)] for x in lists]
+        if not all(len(x) for x in parts):
+            continue
+        where = np.concatenate(parts)
+        which = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        order = np.argsort(where, kind="stable")
+        last = np.full(len(parts), -(2**60))
+        for q, k in zip(where[order].tolist(), which[order].tolist()):
+            last[k] = q
+            if q - last.min() < span:
+                told = d
+                yield d, int(where[order][np.searchsorted(where[order], q - span + 1)])
+                break
+
+
+def proximity_matches(index: DataFrame, items: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", slack: int = 10, chunk_words: int = 4_000_000) -> DataFrame:
+    """(doc, item, position): documents of ``index`` with all words of an item in any order close together.
+
+    Close: within a span of as many words as the item has and ``slack`` more. ``position`` is the first word of the
+    first such place, one row for each document and item; rows of one id are documents of their own. Wordless items
+    match nothing. The search starts from the postings of the item's rarest term in a block.
     """
     out = None
-    for vocabulary, words in _broadcast_items(items, item_col, item_text_col, chunk_words):
-        index = positional_index(df, id_col=id_col, text_col=text_col, vocabulary=vocabulary)
-        part = index.mapInArrow(_near(df.sparkSession.sparkContext.broadcast(words), span), "doc long, item long, position long")
+    for chunk in _chunks(items, item_col, item_text_col, chunk_words)[1]:
+        part = index.mapInArrow(_near(chunk, slack), "doc long, item long, position long")
         out = part if out is None else out.unionByName(part)
-    return out.distinct().select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "position")
+    return out
 
 
 def items_digest(items: list[int]) -> str:

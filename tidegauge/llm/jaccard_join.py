@@ -104,16 +104,16 @@ def _fits(sim: Similarity, n, m, core):
     return (n * sim.den >= m * sim.num) & (m * sim.den >= n * sim.num) & (core * (sim.num + sim.den) >= (n + m) * sim.num)
 
 
-def _those(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """``docs`` without most of the rows that ``owners`` lacks, so that their texts stay where they are.
+def _flagged(docs: DataFrame, owners: DataFrame, *keys: str) -> DataFrame:
+    """``docs`` with ``flag``: false for most of the rows that ``owners`` lacks, true for all that it has.
 
-    The owners' hashes set bits in 512 maps of 4 KB: 2 MB, whatever their number; the join that follows is exact.
+    The owners' hashes set bits in 512 maps of 4 KB: 2 MB, whatever their number; what is flagged still needs a join.
     """
-    at = F.pmod(F.xxhash64("doc", "copy"), F.lit(_NEEDED))
+    at = F.pmod(F.xxhash64(*keys), F.lit(_NEEDED))
     maps = owners.select(at.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("map"))
-    found = docs.withColumn("h", at).withColumns({"bucket": F.expr("bitmap_bucket_number(h)"), "bit": F.expr("bitmap_bit_position(h)")}).join(F.broadcast(maps), "bucket")
+    found = docs.withColumn("h", at).withColumns({"bucket": F.expr("bitmap_bucket_number(h)"), "bit": F.expr("bitmap_bit_position(h)")}).join(F.broadcast(maps), "bucket", "left")
     byte = F.expr("cast(conv(hex(substring(map, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")
-    return found.where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select(*docs.columns)
+    return found.select(*docs.columns, F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False)).alias("flag"))
 
 
 class TokenGroupJoin:
@@ -160,7 +160,7 @@ class TokenGroupJoin:
     def texts(self, needed: DataFrame, reps: DataFrame) -> DataFrame:
         """(u, text) of the nodes ``needed(u)``."""
         owners = reps.join(needed.distinct(), reps.fp == needed.u).select("u", "doc", "copy")
-        return owners.join(_those(self.docs.where("doc is not null"), owners), ["doc", "copy"]).select("u", "text")
+        return owners.join(_flagged(self.docs.where("doc is not null"), owners, "doc", "copy").where("flag"), ["doc", "copy"]).select("u", "text")
 
     def opened_links(self, opened: DataFrame, inside: DataFrame, reps: DataFrame) -> DataFrame:
         """(u, v): links between sets and members of the groups that they open.
@@ -290,3 +290,25 @@ def jaccard_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     named = names.join(roots, names.doc == roots.node, "left").select("fp", F.coalesce("root", "doc").alias("component"))
     placed = sets.join(named, (sets.fp == named.fp) & (sets.n > 0), "left").select(sets.doc, sets.n.alias("n_shingles"), F.coalesce("component", sets.doc).alias("component_id"))
     return placed.select(F.col("doc").alias(id_col), "n_shingles", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each_group(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sim: Similarity = Similarity()) -> DataFrame:
+    """``df`` with one row of each group of linked documents: the one with the least id, nulls last.
+
+    A document is a row by its id and text together, so rows of one id with unlike texts all stay, and rows
+    without an id take part like others. Of rows with the same id and text an arbitrary one stays; texts without words
+    link with nothing and all stay. Only rows that go, or of whose kind several are there, move: the others are told
+    apart by a map of fixed size. Columns are unchanged, whatever their names; an empty table gives no rows.
+    """
+    row = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    i = df.columns.index(id_col)
+    found = jaccard_groups(df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")), id_col="key", text_col="text", sim=sim)
+    ids = row.select("key", F.col(f"row.c{i}").alias("id")).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+    known = cut(found.where("n_shingles > 0").select("key", "component_id").distinct().join(ids, "key").select("key", "component_id", "rows", F.struct(F.col("id").isNull(), "id", "key").alias("rank")))
+    heads = known.groupBy("component_id").agg(F.min("rank").alias("least"))
+    # a small table for most inputs: what goes, and what is there more than once
+    touched = cut(known.join(heads, "component_id").where((F.col("rank") != F.col("least")) | (F.col("rows") > 1)).select("key", (F.col("rank") == F.col("least")).alias("stays")))
+    told = _flagged(row, touched, "key")
+    asked = told.where("flag").join(touched, "key", "left")
+    again = asked.where("stays").select("key", "row").dropDuplicates(["key"]).select("row")
+    return told.where("NOT flag").select("row").unionByName(asked.where("stays IS NULL").select("row")).unionByName(again).select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(df.columns)])

@@ -210,3 +210,12 @@ def apply_keep_bitmaps(df: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_
     kind = doc.schema["row"].dataType.simpleString()
     done = joined.select("row", F.col("text"), "keep").mapInArrow(_applied(True), f"row {kind}, n_lines long, n_dropped long, kept string")
     return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(others)], "n_lines", "n_dropped", "kept")
+
+
+def drop_lines(df: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with its own columns, whatever their names, and with ``text_col`` without the dropped lines; null stays null."""
+    kept = apply_keep_bitmaps(df, bitmaps, id_col=id_col, text_col=text_col, output="text")
+    # by position: a column of df may be named like one of the operator's
+    others = [c for c in df.columns if c != text_col]
+    named = kept.toDF(*[f"c{i}" for i in range(len(others))], "n_lines", "n_dropped", "kept")
+    return named.select(*[F.col("kept" if c == text_col else f"c{others.index(c)}").alias(c) for c in df.columns])

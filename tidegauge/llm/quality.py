@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import blocks, byte_class, mix, text_buffer, word_hashes, word_spans
-from .runtime import tidy
+from .runtime import same_columns, tidy
 
 _U = np.uint64
 _WORD = byte_class(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -188,7 +188,7 @@ def select_documents(df: DataFrame, model: OrdinalModel, *, tail: int, least: fl
     """
     if not 1 <= tail <= len(model.thresholds):
         raise ValueError("tail must be one of the grades above 0")
-    return df.mapInArrow(_kept_rows(df.sparkSession.sparkContext.broadcast(model), tail, least, df.columns.index(text_col)), df.schema)
+    return same_columns(df, _kept_rows(df.sparkSession.sparkContext.broadcast(model), tail, least, df.columns.index(text_col)))
 
 
 def grade_documents(df: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

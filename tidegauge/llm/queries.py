@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
-from .decontaminate import decontaminate
+from .decontaminate import decontaminate, positional_index, proximity_matches
 from .image_copies import drawn_images, image_copies
 from .jaccard_join import jaccard_groups
 from .licenses import license_matches
 from .line_dedup import apply_keep_bitmaps, line_keep_bitmaps
 from .packing import pack
 from .quality import fit_quality, grade_documents
+from .runtime import stored
 from .sharding import byte_shards
 from .token_counts import count_tokens
 from .warc import fixity, layout, records
@@ -103,12 +104,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold all words of a benchmark item close together, in any order."""
+    index = stored(positional_index(_table(spark, sf_dir, "documents")), "postings")
+    return proximity_matches(index, _table(spark, sf_dir, "benchmark"), slack=10).withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_best_fit_packing, op2_token_counts, op3_warc_fixity, op4_image_copies, op5_byte_sharding,
         op6_license_scan, op7_ngram_jaccard_join, op8_line_dedup, op9_quality_classifier, op10_benchmark_decontamination,
     )
-    return {f.__name__: f for f in ops}
+    return {f.__name__: f for f in (*ops, benchmark_proximity)}
 
 
 def oracle_sql() -> dict[str, str]:

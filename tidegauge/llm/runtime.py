@@ -30,6 +30,12 @@ def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return run
 
 
+def same_columns(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df.mapInArrow(rows)`` for rows that keep all columns, which may have any names, with dots too."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(rows, plain.schema).toDF(*df.columns)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder of ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
     sc = spark.sparkContext
