@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.decontaminate import decontaminate
-from tidegauge.llm.jaccard_join import jaccard_groups
-from tidegauge.llm.line_dedup import apply_keep_bitmaps, line_keep_bitmaps
+from tidegauge.llm.decontaminate import without_leaks
+from tidegauge.llm.jaccard_join import one_of_each_group
+from tidegauge.llm.line_dedup import drop_lines, line_keep_bitmaps
 from tidegauge.llm.packing import pack
 from tidegauge.llm.quality import fit_quality, select_documents
 from tidegauge.llm.queries import GRADES, WORD_TOKENIZER, graded, vocabulary_path
@@ -22,35 +22,43 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the highest grade is below one half go: junk, toxic prose, blank texts."""
+    """Documents whose probability of the highest grade is below one half go: junk, toxic prose, blank texts.
+
+    Null, empty and blank texts go; rows are judged by their text alone, so null ids and repeated rows are judged like
+    others. Without rated documents nothing is known against a text with words, and it stays. Other columns pass.
+    """
     model = fit_quality(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), levels=GRADES)
     return select_documents(docs, model, tail=GRADES - 1)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in at least ten documents go everywhere; ``n_chars`` follows the text. No document goes."""
-    kept = apply_keep_bitmaps(docs, line_keep_bitmaps(docs, min_docs=10, min_chars=1), output="text")
-    new = kept.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
-    return new.select(*docs.columns)
+    """Lines found in at least ten documents go everywhere; ``n_chars`` follows the text. No document goes.
+
+    Null texts stay null. A document is an id with a text: repeated rows count once, rows without an id
+    count by their text. An empty table gives no rows; columns of any other name pass unchanged.
+    """
+    kept = drop_lines(docs, line_keep_bitmaps(docs, min_docs=10, min_chars=1))
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays; rows without an id stay."""
-    heads = jaccard_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of linked documents the one with the least id stays; see ``one_of_each_group``.
+
+    Rows of one id with unlike texts are different documents; texts without words stay. An empty table gives no rows.
+    """
+    return one_of_each_group(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word inside any benchmark window go."""
-    key = F.xxhash64("doc_id", "text")
-    found = decontaminate(docs.select(key.alias("row"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row", width=10)
-    leaks = found.where("n_hit > 0").select(F.col("row").alias("leak")).distinct()
-    return docs.join(leaks, key == F.col("leak"), "left_anti").select(*docs.columns)
+    """Documents with a word inside any benchmark window go. Rows are judged by their text alone; null texts stay."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, and their places in sequences of 2048 tokens."""
+    """The pieces of all documents that are left, and their places in sequences of 2048 tokens.
+
+    Null texts are empty documents of one end mark; null ids and repeated rows are packed like others.
+    """
     return pack(docs, vocabulary_path(WORD_TOKENIZER), capacity=2048, end_id=0)
 
 
