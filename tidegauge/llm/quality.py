@@ -83,8 +83,9 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, *, bits: int, levels
 
     The order of the rows is shuffled by a fixed seed; thresholds stay in order. Only features get a weight with which
     some tail P(grade >= k) differs from its mean by ``screen`` standard errors, so that a long text's many
-    indifferent words don't outweigh the few that tell. With fewer than two grades present the thresholds alone tell the grade that was seen (or, without
-    rows, none).
+    indifferent words don't outweigh the few that tell. Below 4,900 rows the screen falls with the root of their
+    number: a feature of one grade passes if about the same share of the rows has it. With fewer than two grades
+    present the thresholds alone tell the grade that was seen (or, without rows, none).
     """
     weights = np.zeros(1 << bits, np.float32)
     share = np.bincount(grades, minlength=levels).astype(float) + 0.5
@@ -103,7 +104,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, *, bits: int, levels
     for k in range(1, levels):
         p = min(max((grades >= k).mean(), 1e-6), 1 - 1e-6)
         strength = np.maximum(strength, np.abs(df[k] - p * df[0]) / np.sqrt(np.maximum(df[0], 1) * p * (1 - p)))
-    names = np.flatnonzero(strength >= screen)
+    names = np.flatnonzero(strength >= min(screen, len(rows) ** 0.5 / 10))
     column = np.full(1 << bits, -1, np.int32)
     column[names] = np.arange(len(names))
     data = [c[c >= 0] for c in (column[r] for r in rows)]
@@ -138,7 +139,7 @@ def _sample_rows(bits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [f.tobytes() for f in features(*text_buffer(batch.column(1)), bits)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["of", "features"])
 
     return tidy(rows)
 
@@ -147,14 +148,16 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, *, levels: int, id_col: str
     """The model from at most ``sample`` rated documents, chosen by the hash of their id.
 
     Ratings are whole numbers from 0 to ``levels`` - 1; null ids, null ratings, others, and rated texts without words
-    are left out. An id with several ratings counts with its least.
+    are left out. An id with several ratings counts with its least, one with several texts with the least text.
+    Equal tables give equal models, however their rows are dealt.
     """
     rated = ratings.where(F.col(rating_col).between(0, levels - 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("rated")).agg(F.min(rating_col).cast("long").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("rated"), "rated").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("rated"))  # sample rows at most
-    got = texts.select("grade", "text", "rated").dropDuplicates(["rated"]).select("grade", "text").mapInArrow(_sample_rows(bits), "grade long, features binary").where(F.octet_length("features") > 0)
-    pairs = [(r.grade, np.frombuffer(r.features, np.int32)) for r in got.toLocalIterator()]
-    return fit_ordinal([f for _, f in pairs], np.array([g for g, _ in pairs], np.int64), bits=bits, levels=levels)
+    got = texts.groupBy("rated", "grade").agg(F.min("text").alias("text")).select(F.struct("rated", "grade").alias("of"), "text").mapInArrow(_sample_rows(bits), "of struct<rated: long, grade: long>, features binary").where(F.octet_length("features") > 0)
+    # steps are taken in the order of the ids, however the rows are dealt
+    rows = sorted(((r.of.rated, r.of.grade, np.frombuffer(r.features, np.int32)) for r in got.toLocalIterator()), key=lambda r: r[0])
+    return fit_ordinal([f for *_, f in rows], np.array([g for _, g, _ in rows], np.int64), bits=bits, levels=levels)
 
 
 def _score_rows(model):
