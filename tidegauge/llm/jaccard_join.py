@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import byte_class, shingle_sets
 from .components import connected_components
-from .runtime import cut, shuffle_partitions, tidy
+from .runtime import cut, release, shuffle_partitions, tidy
 from .token_maps import is_set, token_maps
 
 #: Words: runs of bytes other than space and the five ASCII controls from tab to carriage return.
@@ -155,6 +155,7 @@ class TokenGroupJoin:
         heads = first.where("often").select("token", "often", F.col("p_fp").alias("fp"), F.col("p_n").alias("n"), F.col("p_r").alias("r")).distinct()
         second = cut(to_pivot(heads, "token").select(*columns))
         maps.destroy()  # what needed them is stored
+        release()
         return first.unionByName(second).where("fp <> p_fp").drop("often")
 
     def texts(self, needed: DataFrame, reps: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import blocks, byte_class, mix, text_buffer, word_hashes, word_spans
-from .runtime import same_columns, tidy
+from .runtime import release, same_columns, tidy
 
 _U = np.uint64
 _WORD = byte_class(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -157,7 +157,10 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, *, levels: int, id_col: str
     got = texts.groupBy("rated", "grade").agg(F.min("text").alias("text")).select(F.struct("rated", "grade").alias("of"), "text").mapInArrow(_sample_rows(bits), "of struct<rated: long, grade: long>, features binary").where(F.octet_length("features") > 0)
     # steps are taken in the order of the ids, however the rows are dealt
     rows = sorted(((r.of.rated, r.of.grade, np.frombuffer(r.features, np.int32)) for r in got.toLocalIterator()), key=lambda r: r[0])
-    return fit_ordinal([f for *_, f in rows], np.array([g for _, g, _ in rows], np.int64), bits=bits, levels=levels)
+    model = fit_ordinal([f for *_, f in rows], np.array([g for _, g, _ in rows], np.int64), bits=bits, levels=levels)
+    del rows
+    release()
+    return model
 
 
 def _score_rows(model):

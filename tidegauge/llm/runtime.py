@@ -14,6 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 _MIN_PARTITIONS = 4
 
 
+def release() -> None:
+    """Give this process's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``rows`` for mapInArrow; workers are used again, so after a partition free memory goes back to the system."""
 
@@ -21,11 +30,7 @@ def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         try:
             yield from rows(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not this C library
-                pass
+            release()
 
     return run
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, tidy
+from .runtime import cut, release, tidy
 
 _U = np.uint64
 _FLUSH = 1 << 21  # tokens that a task holds before it hands out counts
@@ -114,6 +114,7 @@ def token_maps(rows: DataFrame, tokens: int, sets: Sets) -> tuple[np.ndarray, np
         for r in maps.where(F.col("level") == at).select("range", "map").toLocalIterator():
             whole[r.range * size : (r.range + 1) * size] = np.frombuffer(zlib.decompress(r.map), np.uint8)
         out.append(whole)
+    release()
     return out[0], out[1]
 
 
