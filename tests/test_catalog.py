@@ -10,8 +10,9 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracle_compare import differences  # noqa: E402
-from tidegauge.plans.catalog import QUERIES  # noqa: E402
-from tidegauge.plans.oracle import ORACLE  # noqa: E402
+from tidegauge.plans import catalog, oracle, payloads  # noqa: E402
+
+QUERIES, ORACLE = catalog.QUERIES | payloads.QUERIES, oracle.ORACLE | payloads.ORACLE
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")

@@ -225,7 +225,7 @@ def first_diff_corr(spark, d):
 
 @query
 def bh_adjust(spark, d):
-    tests = table(spark, d, "orders").where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("test_id"), F.col("o_orderpriority").alias("run_id"), F.when(F.col("o_orderkey") % 7 != 0, F.round(F.col("o_totalprice") / 1_000_000, 6)).alias("p_value"))
+    tests = table(spark, d, "orders").select(F.col("o_orderkey").alias("test_id"), F.col("o_orderpriority").alias("run_id"), F.when(F.col("o_orderkey") % 7 != 0, F.round(F.col("o_totalprice") / 1_000_000, 6)).alias("p_value"))
     return rounded(stats.benjamini_hochberg(tests, batch=["run_id"], tie=["test_id"]))
 
 
@@ -441,7 +441,7 @@ def keyed_merge(spark, d):
 @query
 def insert_missing(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name")
-    return sinks.insert_missing(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0").withColumn("c_name", F.upper("c_name")), key=["c_custkey"])
+    return sinks.insert_missing(c.where("c_custkey % 2 = 0"), c.withColumn("c_name", F.upper("c_name")), key=["c_custkey"])
 
 
 @query
@@ -455,7 +455,7 @@ def purge_before(spark, d):
 @query
 def read_budget_fold(spark, d):
     e = table(spark, d, "events")
-    requests = e.where("event_id % 4 = 0").select(F.col("event_id").alias("request_id"), F.to_date("ts").alias("day"), F.col("event_type").alias("service"), F.when(F.col("event_id") % 20 == 0, -(F.col("user_id") % 7)).otherwise(F.col("user_id") % 40).cast("long").alias("reads"))
+    requests = e.select(F.col("event_id").alias("request_id"), F.to_date("ts").alias("day"), F.col("event_type").alias("service"), F.when(F.col("event_id") % 20 == 0, -(F.col("user_id") % 7)).otherwise(F.col("user_id") % 40).cast("long").alias("reads"))
     return rounded(ledger.reserve_reads(requests, ceiling=200))
 
 
@@ -527,12 +527,12 @@ def exact_jaccard_pairs(spark, d):
 
 @query
 def lines_jaccard_pairs(spark, d):
-    """Exact Jaccard similarity of the documents that share a first line, by the words of their second."""
-    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), " "), lambda w: w != ""))
-    ls = F.split("text", "\n")
-    x = _texts(spark, d).select("doc_id", F.get(ls, F.lit(0)).alias("head"), words(F.coalesce(F.get(ls, F.lit(1)), F.lit(""))).alias("w")).where("size(w) > 0")
-    pairs = x.alias("a").join(x.alias("b"), F.expr("a.head = b.head AND a.doc_id < b.doc_id"))
-    return pairs.select(F.col("a.doc_id").alias("left_id"), F.col("b.doc_id").alias("right_id"), r6(T.jaccard(F.col("a.w"), F.col("b.w")), "jaccard"))
+    """Exact Jaccard similarity by words of each document with the first of those that share its first line."""
+    words = F.array_distinct(F.filter(F.split(F.translate(F.lower("text"), "\n", " "), " "), lambda w: w != ""))
+    x = _texts(spark, d).select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("head"), words.alias("w")).where("size(w) > 0")
+    first = x.groupBy("head").agg(F.min_by(F.struct("doc_id", "w"), "doc_id").alias("f"))
+    pairs = x.join(first, "head").where("doc_id > f.doc_id")
+    return pairs.select(F.col("f.doc_id").alias("left_id"), F.col("doc_id").alias("right_id"), r6(T.jaccard(F.col("f.w"), F.col("w")), "jaccard"))
 
 
 @query
@@ -542,7 +542,7 @@ def symbol_ratio(spark, d):
 
 @query
 def heuristic_verdict(spark, d):
-    base = _texts(spark, d).select("doc_id", F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("Big GIVEAWAY now: "), F.substring("text", 1, 40))).when(F.col("doc_id") % 13 == 0, F.substring("text", 1, 9)).otherwise(F.col("text")).alias("text"), (F.col("n_chars") % 90).alias("followers"), (F.col("doc_id") % 30).alias("age"))
+    base = _texts(spark, d).select("doc_id", F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("Big GIVEAWAY now: "), F.col("text"))).otherwise(F.col("text")).alias("text"), (F.col("n_chars") % 90).alias("followers"), (F.col("doc_id") % 30).alias("age"))
     v = posts.heuristic(age_days=F.col("age"))
     return base.select("doc_id", v["verdict"].alias("verdict"), v["reason"].alias("reason"))
 

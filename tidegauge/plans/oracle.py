@@ -146,7 +146,7 @@ SELECT g.market_id, g.bar, round(g.mid, 6) AS mid, round(coalesce(g.mid, x.mid),
     "ccf_strongest": S + HOURLY + ALIGNED + CCF.replace("{0}", "6") + ", r AS (SELECT market_id, lag, round(correlation, 6) AS correlation, n_obs, interpretation FROM cc WHERE correlation IS NOT NULL) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY market_id ORDER BY abs(correlation) DESC, lag) = 1",
     "first_diff_corr": S + HOURLY + ALIGNED + """, dd AS (SELECT market_id, signal - lag(signal) OVER w AS x, price - lag(price) OVER w AS y FROM al WINDOW w AS (PARTITION BY market_id ORDER BY bar))
 SELECT market_id, count(*) AS n, round(CASE WHEN count(*) >= 3 AND stddev_pop(x) * stddev_pop(y) > 0 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) ELSE 0 END, 6) AS correlation FROM dd GROUP BY 1""",
-    "bh_adjust": """WITH t AS (SELECT o_orderkey AS test_id, o_orderpriority AS run_id, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice / 1000000, 6) END AS p_value FROM orders WHERE o_orderkey % 50 = 1),
+    "bh_adjust": """WITH t AS (SELECT o_orderkey AS test_id, o_orderpriority AS run_id, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice / 1000000, 6) END AS p_value FROM orders),
 r AS (SELECT *, p_value * count(p_value) OVER (PARTITION BY run_id) / row_number() OVER (PARTITION BY run_id, p_value IS NULL ORDER BY p_value, test_id) AS q FROM t),
 a AS (SELECT *, CASE WHEN p_value IS NOT NULL THEN least(1.0, min(q) OVER (PARTITION BY run_id, p_value IS NULL ORDER BY p_value DESC, test_id DESC ROWS UNBOUNDED PRECEDING)) END AS adj FROM r)
 SELECT test_id, run_id, p_value, round(adj, 6) AS p_value_adj, coalesce(adj < 0.05, false) AS significant FROM a""",
@@ -182,9 +182,9 @@ SELECT id, round((u + l * ln(exp((a + 1 - u) / l) + exp((b - 2 - u) / l) + exp((
     "query_string": """WITH t AS (SELECT p_partkey, p_brand, list_concat(list_append(string_split(p_type, ' '), 'rate cut'), string_split(p_name, ' ')) AS a FROM part), u AS (SELECT *, list_filter(a, lambda x, i: list_position(a, x) = i) AS d FROM t)
 SELECT p_partkey, '(' || array_to_string([CASE WHEN contains(x, ' ') THEN '"' || x || '"' ELSE x END FOR x IN d], ' OR ') || ') -' || CASE WHEN contains(p_brand, ' ') THEN '"' || p_brand || '"' ELSE p_brand END || ' -is:retweet lang:en' AS q FROM u""",
     "keyed_merge": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus ELSE 'X' END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 1 OR (o_orderkey % 2 <> 0 AND o_orderkey % 3 <> 0) THEN o_totalprice WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 END AS o_totalprice FROM orders",
-    "insert_missing": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE upper(c_name) END AS c_name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+    "insert_missing": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE upper(c_name) END AS c_name FROM customer",
     "purge_before": PRELUDE + "SELECT count(*) FILTER (WHERE ts >= c) AS kept, count(*) FILTER (WHERE ts < c) AS purged FROM ticks, (SELECT max(ts) - INTERVAL 10 DAY AS c FROM ticks)",
-    "read_budget_fold": """WITH RECURSIVE r AS (SELECT event_id AS request_id, CAST(ts AS DATE) AS day, event_type AS service, CASE WHEN event_id % 20 = 0 THEN -(user_id % 7) ELSE user_id % 40 END AS reads, row_number() OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY event_id) AS i FROM events WHERE event_id % 4 = 0),
+    "read_budget_fold": """WITH RECURSIVE r AS (SELECT event_id AS request_id, CAST(ts AS DATE) AS day, event_type AS service, CASE WHEN event_id % 20 = 0 THEN -(user_id % 7) ELSE user_id % 40 END AS reads, row_number() OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY event_id) AS i FROM events),
 f AS (SELECT r.*, r.reads <= 0 OR r.reads <= 200 AS granted, CASE WHEN r.reads <= 200 THEN greatest(0, r.reads) ELSE 0 END AS used FROM r WHERE i = 1
   UNION ALL SELECT r.*, r.reads <= 0 OR f.used + r.reads <= 200, CASE WHEN r.reads <= 0 OR f.used + r.reads <= 200 THEN greatest(0, f.used + r.reads) ELSE f.used END FROM f JOIN r ON r.day = f.day AND r.service = f.service AND r.i = f.i + 1)
 SELECT day, service, request_id, reads, granted, used AS reads_used, round(used * 0.005::DOUBLE, 6) AS cost_usd FROM f""",
@@ -197,10 +197,11 @@ SELECT day, service, request_id, reads, granted, used AS reads_used, round(used
     "settlement_fills": S + HOURLY + POINTS + FILLS + "SELECT market_id, strategy, 'yes' AS side, 'settle' AS action, round(abs(qty_yes), 6) AS quantity, resolved_outcome::DOUBLE AS price, round(qty_yes * resolved_outcome, 6) AS cash_flow FROM pos JOIN markets m USING (market_id) WHERE status = 'settled' AND qty_yes <> 0",
     "text_normalize": f"SELECT doc_id, md5({_NORMAL}) AS digest FROM documents",
     "shingles": f"WITH n AS (SELECT doc_id, {_NORMAL} AS t FROM documents), w AS (SELECT doc_id, t, string_split(t, ' ') AS ws FROM n) SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 WHEN len(ws) < 3 THEN 1 ELSE len(list_distinct([array_to_string(ws[i:i + 2], ' ') FOR i IN range(1, CAST(len(ws) - 1 AS BIGINT))])) END AS BIGINT) AS n_shingles FROM w",
-    "lines_jaccard_pairs": """WITH x AS (SELECT doc_id, string_split(text, chr(10))[1] AS head, list_distinct(list_filter(string_split(lower(coalesce(string_split(text, chr(10))[2], '')), ' '), lambda w: w <> '')) AS w FROM documents)
-SELECT a.doc_id AS left_id, b.doc_id AS right_id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE, 6) AS jaccard FROM x a JOIN x b ON a.head = b.head AND a.doc_id < b.doc_id WHERE len(a.w) > 0 AND len(b.w) > 0""",
+    "lines_jaccard_pairs": """WITH x AS (SELECT doc_id, string_split(text, chr(10))[1] AS head, list_distinct(list_filter(string_split(translate(lower(text), chr(10), ' '), ' '), lambda w: w <> '')) AS w FROM documents),
+f AS (SELECT head, min(doc_id) AS doc_id, arg_min(w, doc_id) AS w FROM x WHERE len(w) > 0 GROUP BY head)
+SELECT f.doc_id AS left_id, x.doc_id AS right_id, round(len(list_intersect(f.w, x.w)) / (len(f.w) + len(x.w) - len(list_intersect(f.w, x.w)))::DOUBLE, 6) AS jaccard FROM x JOIN f USING (head) WHERE x.doc_id > f.doc_id AND len(x.w) > 0""",
     "symbol_ratio": "SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 1.0 ELSE length(regexp_replace(text, '[\\p{L}\\p{N}\\p{Z}\\s]', '', 'g')) / length(text)::DOUBLE END, 6) AS ratio FROM documents",
-    "heuristic_verdict": f"""WITH b AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 11 = 0 THEN 'Big GIVEAWAY now: ' || substr(text, 1, 40) WHEN doc_id % 13 = 0 THEN substr(text, 1, 9) ELSE text END, '^\\s+|\\s+$', '', 'g') AS t, n_chars % 90 AS followers, doc_id % 30 AS age FROM documents),
+    "heuristic_verdict": f"""WITH b AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 11 = 0 THEN 'Big GIVEAWAY now: ' || text ELSE text END, '^\\s+|\\s+$', '', 'g') AS t, n_chars % 90 AS followers, doc_id % 30 AS age FROM documents),
 s AS (SELECT *, CASE WHEN length(t) = 0 THEN 1.0 ELSE length(regexp_replace(t, '[\\p{{L}}\\p{{N}}\\p{{Z}}\\s]', '', 'g')) / length(t)::DOUBLE END AS r FROM b),
 v AS (SELECT doc_id, CASE WHEN length(t) < 12 THEN 'text is ' || length(t) || ' chars, below the 12-char floor' WHEN r > 0.6 THEN printf('symbol ratio %.2f exceeds 0.60', r) {_MARKERS} END AS low, CASE WHEN age < 14 AND followers < 50 THEN 'account is ' || age || 'd old with ' || followers || ' followers (thresholds: 14d, 50)' END AS bot FROM s)
 SELECT doc_id, CASE WHEN low IS NOT NULL THEN 'low_quality' WHEN bot IS NOT NULL THEN 'bot' END AS verdict, coalesce(low, bot) AS reason FROM v""",
