@@ -217,21 +217,19 @@ def _openings(members: DataFrame, groups: DataFrame, sim: Similarity) -> tuple[D
     ``groups(node, root)`` are the groups of sets already linked; a set without a row is its own group. A group's
     column is the union of its members' first tokens, with the sizes and the rests that stand behind each token: what
     follows a token in the set and in some member bounds their overlap from there on. A query set opens a group only
-    if some token leaves room for the threshold at a size between the least and the largest member there, and if all
-    the first tokens that it shares with the union, with what may follow them, reach the threshold.
+    if some token leaves room for the threshold at a size between the least and the largest member there. The shared
+    tokens of a query and a group are not summed: that takes a row for each of them, which grows with the square of a
+    large group's size.
     """
     grouped = members.join(groups, members.fp == groups.node, "left").select("token", "fp", F.col("n").cast("long").alias("n"), F.col("r").cast("long").alias("r"), F.coalesce("root", "fp").alias("g"))
     open_tokens = grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token")
     grouped = cut(grouped.join(open_tokens, "token"))
-    union = cut(grouped.groupBy("token", F.col("g").alias("other")).agg(F.min("n").alias("t_lo"), F.max("n").alias("t_hi"), F.max("r").alias("t_r")))
+    union = grouped.groupBy("token", F.col("g").alias("other")).agg(F.min("n").alias("t_lo"), F.max("n").alias("t_hi"), F.max("r").alias("t_r"))
     n = F.col("n")
     lo, hi = F.ceil(n * sim.num / sim.den), F.floor(n * sim.den / sim.num)
     least = F.greatest(F.col("t_lo"), lo)
     meets = (F.col("g") > F.col("other")) & (least <= F.least(F.col("t_hi"), hi)) & (F.least("r", "t_r") * (sim.num + sim.den) >= (n + least) * sim.num)
-    meeting = grouped.join(union, "token").where(meets).select("fp", "other").distinct()
-    # the overlap of a set with a group's union, over all their first tokens, bounds that with each member
-    overlap = meeting.join(grouped.select("fp", "token", "n"), "fp").join(union, ["other", "token"]).groupBy("fp", "other", "n").agg(F.count("*").alias("shared"), F.min("t_lo").alias("s_lo"), F.max("t_hi").alias("s_hi"))
-    opened = overlap.where(_allowed(sim, "shared", n, F.greatest("s_lo", lo), F.least("s_hi", hi))).select("fp", "other")
+    opened = grouped.join(union, "token").where(meets).select("fp", "other").distinct()
     return cut(opened), grouped.select(F.col("g").alias("other"), F.col("fp").alias("s")).distinct()
 
 
@@ -268,8 +266,8 @@ def jaccard_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
        similar sets share one at least.
     3. Each set is compared with its tokens' pivots: linear in the index. Linked sets form the groups of similar
        documents. Texts move only for pairs whose shared first tokens allow a link.
-    4. The token-group matrix holds each group's token union; a set outside opens only the groups that its overlap
-       with the union allows, and is compared with their members.
+    4. The token-group matrix holds each group's token union; a set outside opens only the groups in which, at some
+       token of the union, what follows it there and in the set allows the overlap, and is compared with their members.
 
     Null texts have no words; null ids keep their row, with themselves alone as component (null); rows of one id are
     rows of their own that share the id's component. Empty tables give no rows; other columns are ignored.
