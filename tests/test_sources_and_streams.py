@@ -129,3 +129,24 @@ def test_stream_upserts_and_counts(spark, tmp_path):
     assert q.exception() is None and store.read("market_prices").count() == 4
     m = spark.createDataFrame([("signals:kalshi:A", "{}"), ("sim:kalshi:A", "{}")], "channel string, payload string")
     assert pipeline.subscribe(m, "signals:*").count() == 1
+
+
+def test_a_store_keeps_its_version_when_a_write_stops_before_the_name_moves(spark, tmp_path, monkeypatch):
+    from tidegauge.sources import schemas
+    from tidegauge.sources.sinks import ParquetStore
+
+    store = ParquetStore(spark, str(tmp_path))
+    empty = spark.createDataFrame([], schemas.TABLES["markets"])
+    store.write("markets", empty)
+    first = store._current("markets")
+
+    def stop(self, table, version):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(ParquetStore, "_point", stop)
+        with pytest.raises(OSError):
+            store.write("markets", empty)
+    assert store._current("markets") == first and store.read("markets").count() == 0
+    store.write("markets", empty)
+    assert store._current("markets") != first

@@ -93,11 +93,22 @@ class ParquetStore:
         version = f"v-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.root}/{table}/{version}")
-        fs, p = self._fs(f"{self.root}/{table}/CURRENT")
-        out = fs.create(p, True)
+        self._point(table, version)
+        return self.read(table)
+
+    def _point(self, table: str, version: str) -> None:
+        """The name is written beside the current one and then takes its place in one step: readers see one or the other."""
+        sc = self.spark.sparkContext
+        fs, fresh = self._fs(f"{self.root}/{table}/.CURRENT-{version}")
+        out = fs.create(fresh, True)
         out.write(bytearray(version.encode()))
         out.close()
-        return self.read(table)
+        rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = sc._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        _, current = self._fs(f"{self.root}/{table}/CURRENT")
+        context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(fresh), fs.makeQualified(current), how)
 
     def upsert(self, table: str, new: DataFrame) -> DataFrame:
         key = list(schemas.KEYS[table])
