@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import cut
@@ -11,23 +11,30 @@ _ROUNDS = 60
 _ONE_TASK = 100_000  # edges that one task holds with ease: such a table needs no exchange
 
 
+def _with_least(edges: DataFrame, one_task: bool) -> DataFrame:
+    """``edges(u, v)`` with m, the least v of each u. A window needs no exchange of one partition; a join would."""
+    if one_task:
+        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)``; the root is the least node of the component.
 
     Each step is a minimum per node (combined before the exchange) and an equi-join, so hubs are no single task's
-    load; the edges stay distributed. Ends when a round changes no edge; a round's edges are cut from their lineage.
+    load; the edges stay distributed, unless they are so few that one task does it without an exchange. Ends when a
+    round changes no edge; a round's edges are cut from their lineage.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = cut(e)
-    if e.count() <= _ONE_TASK:
-        e = e.coalesce(1)
+    one_task = e.count() <= _ONE_TASK
     sums = None
     for _ in range(_ROUNDS):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        if one_task:
+            e = e.coalesce(1)
+        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        large = _with_least(both, one_task).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        small = _with_least(large, one_task).select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).where("u <> v").distinct()
         e = cut(small)
         now = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.sum(F.expr("cast(xxhash64(v, u) as decimal(38,0))")).alias("s")).first()
         if now == sums:

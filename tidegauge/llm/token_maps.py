@@ -111,7 +111,7 @@ def token_maps(rows: DataFrame, tokens: int, sets: Sets) -> tuple[np.ndarray, np
     out = []
     for at, width in ((level, _OFTEN_BITS), (2, _TWICE_BITS)):
         whole, size = np.zeros(1 << (width - 3), np.uint8), 1 << (width - bits - 3)
-        for r in maps.where(F.col("level") == at).select("range", "map").toLocalIterator():
+        for r in maps.where(F.col("level") == at).select("range", "map").collect():  # one map of fixed size, in compressed slices
             whole[r.range * size : (r.range + 1) * size] = np.frombuffer(zlib.decompress(r.map), np.uint8)
         out.append(whole)
     release()
