@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import byte_class, shingle_sets
 from .components import connected_components
-from .runtime import cut, release, shuffle_partitions, tidy
+from .runtime import cut, release, sweep, tidy
 from .token_maps import is_set, token_maps
 
 #: Words: runs of bytes other than space and the five ASCII controls from tab to carriage return.
@@ -276,12 +276,17 @@ def jaccard_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sets = join.sets()
     reps = cut(sets.where("n > 0 and doc is not null").groupBy("fp").agg(F.min(F.struct("doc", "copy")).alias("r")).select("fp", "r.doc", "r.copy"))
     probes = join.probes(sets)
+    sweep(join.spark)
     members = _members(probes)
     near = probes.where(_fits(sim, F.col("n"), F.col("p_n"), F.least("r", "p_r"))).select(F.greatest("fp", "p_fp").alias("u"), F.least("fp", "p_fp").alias("v")).distinct()
-    links = cut(join.links(cut(_possible(near, members, sim)), reps))
+    possible = cut(_possible(near, members, sim))
+    sweep(join.spark)
+    links = cut(join.links(possible, reps))
     groups = cut(connected_components(links))
     opened, inside = _openings(members, groups, sim)
+    sweep(join.spark)
     links = links.unionByName(cut(join.opened_links(opened, inside, reps)))
+    sweep(join.spark)
     # rows of one id also hang together: the ids are what is returned
     class_of = sets.where("n > 0 and doc is not null").join(reps.select("fp", F.col("doc").alias("rep")), "fp").select("doc", "rep")
     names = reps.select("fp", "doc")

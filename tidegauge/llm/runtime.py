@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,11 +62,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files and checkpoints of earlier steps that nothing refers to any more.
+
+    It acts on what the driver's JVM has collected; a driver that is seldom short of memory seldom collects, and the
+    executors' disks would keep the files of all steps until the end.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: compressed, and readable by column."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    sweep(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
